@@ -19,6 +19,11 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -51,6 +56,12 @@ def compare(spark_df, sql: str, con) -> dict:
         "columns_match": sorted(s_cols) == sorted(d_cols),
     }
     res["rows_match"] = res["spark_rows"] == res["oracle_rows"]
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in spark_df.schema.fields}
+    d_types = {d[0]: str(d[1]) for d in rel.description}
+    bad = {c: (s_types.get(c), d_types.get(c)) for c in s_types if c in d_types and s_types[c] != d_types[c]}
+    res["types_match"] = not bad
+    if bad:
+        res["type_diffs"] = bad
     if res["columns_match"]:
         a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
         res["values_match"] = a == b
@@ -61,5 +72,5 @@ def compare(spark_df, sql: str, con) -> dict:
     else:
         res["values_match"] = False
         res["spark_cols"], res["oracle_cols"] = sorted(s_cols), sorted(d_cols)
-    res["ok"] = res["rows_match"] and res["columns_match"] and res["values_match"]
+    res["ok"] = res["rows_match"] and res["columns_match"] and res["values_match"] and res["types_match"]
     return res

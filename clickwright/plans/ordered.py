@@ -85,3 +85,16 @@ def global_rank(
     """1-based row number in ``order`` (which must be a total order) and optional running sum."""
     out = with_position(df.orderBy(*order), "_pos0", sum_col=sum_col, running_sum=running_sum)
     return out.withColumn(rank, F.col("_pos0") + F.lit(1)).drop("_pos0")
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Unlike an RDD checkpoint, later readers get column pruning and filter
+    pushdown on the written table.
+    """
+    from clickwright.session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -27,8 +27,18 @@ def with_clicklog(body: str, *ctes: str) -> str:
     return f"WITH {CLICKLOG_SQL}{extra}\n{body}"
 
 
+_LOGS: dict[tuple, DataFrame] = {}
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clicklog(spark, sf_dir)
+    """The impression log of ``sf_dir``: derived once per session and data folder, written as
+    Parquet into the shared checkpoint folder, and read back (pruning + pushdown) by every query."""
+    from clickwright.plans.ordered import materialize
+
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _LOGS:
+        _LOGS[key] = materialize(clicklog(spark, sf_dir), "clicklog")
+    return _LOGS[key]
 
 
 # query modules register themselves on import

@@ -37,4 +37,4 @@ def _build_features_sql() -> str:
 
 @register("build_features", _build_features_sql())
 def q_build_features(spark, sf_dir):
-    return build_features(log(spark, sf_dir))
+    return build_features(log(spark, sf_dir), materialize_input=False)

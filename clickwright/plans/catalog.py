@@ -42,4 +42,4 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # query modules register themselves on import
-from clickwright.plans import q_sequence, q_grouped, q_preprocess, q_basic, q_pipeline  # noqa: E402,F401
+from clickwright.plans import q_sequence, q_grouped, q_preprocess, q_basic, q_pipeline, q_model  # noqa: E402,F401

@@ -112,7 +112,7 @@ def train_evaluate(df: DataFrame, features: list[str], label: str = "is_trade",
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     model = mo.gbt_fit(train, features, label, **gbt)
-    scored = mo.predict_proba(model, test)
+    scored = mo.predict_proba(model, test, features)
     return {
         "log_loss": me.log_loss(scored, label, "p").first()[0],
         "auc": me.roc_auc(scored, label, "p").first()[0],

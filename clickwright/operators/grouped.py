@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickwright.operators.joins import all_not_null, attach
@@ -41,67 +41,129 @@ def _agg_fn(name: str, c: str, order_col: str = "instance_id"):
     return fns[name]()
 
 
-def expose_ratio(df: DataFrame, pairs: Sequence[Sequence[str]] = EXPOSE_PAIRS, digits: int = EXPOSE_RATIO_DIGITS) -> DataFrame:
-    """``{ids}_{grain}_cnt`` rows per (ids, grain) and ``{ids}_{grain}_ratio`` its share of the ids' rows."""
+class KeyedFeatures:
+    """Feature specs grouped by key set: one partial aggregation and one join per key set.
+
+    ``add(keys, aggs, post)``: ``aggs`` maps temporary names to aggregate
+    expressions, ``post`` maps output names to row expressions over them.
+    With ``mask_null_keys`` (the pandas ``groupby`` + ``merge`` behaviour) a
+    row whose key has a null component gets null; otherwise null keys form a
+    group of their own (pandas ``duplicated`` / ``drop_duplicates``).
+    """
+
+    def __init__(self):
+        self._specs: dict[tuple, dict] = {}
+
+    def add(self, keys: Sequence[str], aggs: Mapping[str, Column], post: Mapping[str, Column], mask_null_keys: bool = True):
+        spec = self._specs.setdefault(tuple(keys), {"aggs": {}, "post": {}, "null_safe": False})
+        spec["aggs"].update(aggs)
+        guard = all_not_null(keys)
+        spec["post"].update({k: (F.when(guard, v) if mask_null_keys else v) for k, v in post.items()})
+        spec["null_safe"] = spec["null_safe"] or not mask_null_keys
+        return self
+
+    def apply(self, df: DataFrame, source=None) -> DataFrame:
+        """Attach every key set's features; aggregates read ``source()`` (same rows as ``df``) if given."""
+        for keys, spec in self._specs.items():
+            src = source() if source else df
+            src = src if spec["null_safe"] else src.where(all_not_null(keys))
+            feat = src.groupBy(*keys).agg(*[e.alias(n) for n, e in spec["aggs"].items()])
+            joined = attach(df, feat, list(keys), null_safe=spec["null_safe"])
+            keep = [c for c in df.columns if c not in spec["post"]]
+            df = joined.select(*keep, *[e.alias(n) for n, e in spec["post"].items()])
+        return df
+
+    def output_columns(self) -> list[str]:
+        return [c for spec in self._specs.values() for c in spec["post"]]
+
+
+def expose_ratio(df: DataFrame, pairs: Sequence[Sequence[str]] = EXPOSE_PAIRS, digits: int = EXPOSE_RATIO_DIGITS, source=None) -> DataFrame:
+    """``{ids}_{grain}_cnt`` rows per (ids, grain) and ``{ids}_{grain}_ratio`` its share of the ids' rows.
+
+    All grains of one ``ids`` share one aggregation at (ids, grains...); counts
+    and totals are windows over that aggregate table, whose partitions hold one
+    row per grain combination (e.g. 24 hours), then one join brings them back.
+    """
+    grains_of: dict[str, list[str]] = defaultdict(list)
     for ids, grain in pairs:
-        cnt_name, ratio_name = f"{ids}_{grain}_cnt", f"{ids}_{grain}_ratio"
-        cnt = df.where(all_not_null([ids, grain])).groupBy(ids, grain).agg(F.count(F.lit(1)).alias(cnt_name))
-        tot = cnt.groupBy(ids).agg(F.sum(cnt_name).alias("__tot"))
-        feat = cnt.join(tot, ids).select(
-            ids, grain, cnt_name, F.bround(F.col(cnt_name) / F.col("__tot"), digits).alias(ratio_name)
+        grains_of[ids].append(grain)
+    for ids, grains in grains_of.items():
+        keys = [ids, *grains]
+        agg = (source() if source else df).where(F.col(ids).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        cols = {}
+        for g in grains:
+            cols[f"{ids}_{g}_cnt"] = F.when(F.col(g).isNotNull(), F.sum("__n").over(Window.partitionBy(ids, g)))
+            cols[f"__tot_{g}"] = F.sum(F.when(F.col(g).isNotNull(), F.col("__n"))).over(Window.partitionBy(ids))
+        agg = agg.withColumns(cols)
+        agg = agg.withColumns(
+            {f"{ids}_{g}_ratio": F.bround(F.col(f"{ids}_{g}_cnt") / F.col(f"__tot_{g}"), digits) for g in grains}
+        ).drop("__n", *[f"__tot_{g}" for g in grains])
+        df = attach(df, agg, keys, null_safe=True)
+        df = df.withColumns(
+            {c: F.when(F.col(ids).isNotNull(), F.col(c)) for g in grains for c in (f"{ids}_{g}_cnt", f"{ids}_{g}_ratio")}
         )
-        df = attach(df, feat, [ids, grain])
     return df
 
 
-def aggregate_level(df: DataFrame, spec: Mapping[str, Sequence[str]] = AGGREGATE_LEVEL, aggs: Sequence[str] = ("mean",)) -> DataFrame:
-    """``{ids}_TO_{col}_{agg}``: aggregate of ``col`` over each ``ids`` (one groupBy per key)."""
-    by_key: dict[str, list[tuple[str, str]]] = defaultdict(list)
+def aggregate_level_specs(batch: KeyedFeatures, spec: Mapping[str, Sequence[str]] = AGGREGATE_LEVEL, aggs: Sequence[str] = ("mean",)) -> list[str]:
     names = []
     for c, ids_list in spec.items():
         for ids in ids_list:
             for agg in aggs:
-                by_key[ids].append((c, agg))
-                names.append(f"{ids}_TO_{c}_{agg}")
-    base = df.columns
-    for ids, items in by_key.items():
-        feat = df.where(F.col(ids).isNotNull()).groupBy(ids).agg(
-            *[_agg_fn(agg, c).alias(f"{ids}_TO_{c}_{agg}") for c, agg in items]
-        )
-        df = attach(df, feat, [ids])
-    return df.select(*base, *[n for n in dict.fromkeys(names) if n not in base])
+                name = f"{ids}_TO_{c}_{agg}"
+                names.append(name)
+                batch.add([ids], {f"__{name}": _agg_fn(agg, c)}, {name: F.col(f"__{name}")})
+    return names
 
 
-def active_per_grain(df: DataFrame, spec: Mapping[str, Mapping[str, Sequence[str]]] = ACTIVE_PER_GRAIN) -> DataFrame:
-    """``{ids1}_{grain}__active_{ids2}__num``: distinct ``ids2`` per (ids1, grain); null counts as one value."""
-    base = df.columns
+def aggregate_level(df: DataFrame, spec: Mapping[str, Sequence[str]] = AGGREGATE_LEVEL, aggs: Sequence[str] = ("mean",)) -> DataFrame:
+    """``{ids}_TO_{col}_{agg}``: aggregate of ``col`` over each ``ids`` (one groupBy per key)."""
+    batch = KeyedFeatures()
+    aggregate_level_specs(batch, spec, aggs)
+    return batch.apply(df)
+
+
+def active_per_grain_specs(batch: KeyedFeatures, spec: Mapping[str, Mapping[str, Sequence[str]]] = ACTIVE_PER_GRAIN) -> list[str]:
     names = []
     for grain, per_key in spec.items():
         for ids1, ids2_list in per_key.items():
-            cols = []
             for ids2 in ids2_list:
                 name = f"{ids1}_{grain}__active_{ids2}__num"
                 names.append(name)
-                cols.append(
-                    (F.count_distinct(ids2) + F.max(F.col(ids2).isNull().cast("bigint"))).alias(name)
+                batch.add(
+                    [ids1, grain],
+                    {f"__{name}": F.count_distinct(ids2) + F.max(F.col(ids2).isNull().cast("bigint"))},
+                    {name: F.col(f"__{name}")},
                 )
-            feat = df.where(all_not_null([ids1, grain])).groupBy(ids1, grain).agg(*cols)
-            df = attach(df, feat, [ids1, grain])
-    return df.select(*base, *names)
+    return names
+
+
+def active_per_grain(df: DataFrame, spec: Mapping[str, Mapping[str, Sequence[str]]] = ACTIVE_PER_GRAIN) -> DataFrame:
+    """``{ids1}_{grain}__active_{ids2}__num``: distinct ``ids2`` per (ids1, grain); null counts as one value."""
+    batch = KeyedFeatures()
+    active_per_grain_specs(batch, spec)
+    return batch.apply(df)
+
+
+def relative_ratio_specs(batch: KeyedFeatures, spec: Mapping[str, Sequence[str]] = RELATIVE_RATIO, digits: int = RELATIVE_RATIO_DIGITS) -> list[str]:
+    names = []
+    for ids, cols in spec.items():
+        for c in cols:
+            mean = f"{c}_mean_by_{ids}"
+            names.append(mean)
+            batch.add([ids], {f"__{mean}": F.avg(c)}, {mean: F.col(f"__{mean}")})
+        for c in cols:
+            mean = f"{c}_mean_by_{ids}"
+            names.append(f"{mean}ratio")
+            batch.add([ids], {}, {f"{mean}ratio": F.bround(F.try_divide(F.col(c), F.col(f"__{mean}")), digits)})
+    return names
 
 
 def relative_ratio(df: DataFrame, spec: Mapping[str, Sequence[str]] = RELATIVE_RATIO, digits: int = RELATIVE_RATIO_DIGITS) -> DataFrame:
     """``{col}_mean_by_{ids}`` and ``{col}_mean_by_{ids}ratio`` = round(col / mean, 5); zero mean -> null."""
-    for ids, cols in spec.items():
-        feat = df.where(F.col(ids).isNotNull()).groupBy(ids).agg(*[F.avg(c).alias(f"{c}_mean_by_{ids}") for c in cols])
-        df = attach(df, feat, [ids])
-        df = df.withColumns(
-            {
-                f"{c}_mean_by_{ids}ratio": F.bround(F.try_divide(F.col(c), F.col(f"{c}_mean_by_{ids}")), digits)
-                for c in cols
-            }
-        )
-    return df
+    batch = KeyedFeatures()
+    relative_ratio_specs(batch, spec, digits)
+    return batch.apply(df)
 
 
 def group_count_feature(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -109,21 +171,37 @@ def group_count_feature(df: DataFrame, keys: Sequence[str], name: str) -> DataFr
     return attach(df, feat, keys)
 
 
+def daily_specs(batch: KeyedFeatures) -> list[str]:
+    """``shop_item_unique_day`` (distinct items per shop and day, nulls not counted) and
+    ``user_id_query_day`` (rows per user and day)."""
+    batch.add(["shop_id", "day"], {"__sid": F.count_distinct("item_id")}, {"shop_item_unique_day": F.col("__sid")})
+    batch.add(["user_id", "day"], {"__uqd": F.count(F.lit(1))}, {"user_id_query_day": F.col("__uqd")})
+    return ["shop_item_unique_day", "user_id_query_day"]
+
+
 def daily_shop_item_count(df: DataFrame, shop: str = "shop_id", item: str = "item_id", day: str = "day") -> DataFrame:
     """``shop_item_unique_day``: distinct items per (shop, day); nulls are not counted."""
-    feat = df.where(all_not_null([shop, day])).groupBy(shop, day).agg(F.count_distinct(item).alias("shop_item_unique_day"))
-    return attach(df, feat, [shop, day])
+    batch = KeyedFeatures().add([shop, day], {"__sid": F.count_distinct(item)}, {"shop_item_unique_day": F.col("__sid")})
+    return batch.apply(df)
 
 
 def daily_user_clicks(df: DataFrame, user: str = "user_id", day: str = "day") -> DataFrame:
     """``user_id_query_day``: rows per (user, day)."""
-    return group_count_feature(df, [user, day], "user_id_query_day")
-
-
-def minute_bucket_clicks(df: DataFrame, buckets: Sequence[int] = MINUTE_BUCKETS, minute: str = "minute") -> DataFrame:
-    """``min{n}_user_click``: rows per (user, day, hour, minute // n)."""
-    for n in buckets:
-        tmp = f"__min_{n}"
-        df = df.withColumn(tmp, F.floor(F.col(minute) / F.lit(n)).cast("int"))
-        df = group_count_feature(df, ["user_id", "day", "hour", tmp], f"min{n}_user_click").drop(tmp)
-    return df
+    return KeyedFeatures().add([user, day], {"__uqd": F.count(F.lit(1))}, {"user_id_query_day": F.col("__uqd")}).apply(df)
+
+
+def minute_bucket_clicks(df: DataFrame, buckets: Sequence[int] = MINUTE_BUCKETS, minute: str = "minute", source=None) -> DataFrame:
+    """``min{n}_user_click``: rows per (user, day, hour, minute // n).
+
+    One aggregation at minute level; each bucket count is a window over that
+    table partitioned by (user, day, hour, bucket) -- at most 60 rows each.
+    """
+    keys = ["user_id", "day", "hour", minute]
+    agg = (source() if source else df).where(all_not_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    agg = agg.withColumns(
+        {
+            f"min{n}_user_click": F.sum("__n").over(Window.partitionBy("user_id", "day", "hour", F.floor(F.col(minute) / F.lit(n))))
+            for n in buckets
+        }
+    ).drop("__n")
+    return attach(df, agg, keys)

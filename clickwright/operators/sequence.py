@@ -41,6 +41,7 @@ def ordered_key_features(
     last_view: str | None = None,
     ts: str = TS,
     id_col: str = ID,
+    source=None,
 ) -> DataFrame:
     """All ordered features of one key set from one ``(key, second)`` table and one join.
 
@@ -54,7 +55,7 @@ def ordered_key_features(
     """
     keys = list(keys)
     sec = (
-        df.where(all_not_null(keys + [ts]))
+        (source() if source else df).where(all_not_null(keys + [ts]))
         .groupBy(*keys, ts)
         .agg(F.count(F.lit(1)).alias("__n"), F.min(id_col).alias("__id_lo"), F.max(id_col).alias("__id_hi"))
     )
@@ -134,18 +135,51 @@ def gap_to_last_view(df: DataFrame, grains: Sequence[str] = LAST_VIEW_GRAINS, us
     return df
 
 
-def _group_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], id_col: str = ID) -> DataFrame:
-    """Per group (nulls grouped together): size and the first/last row in ``order`` + id."""
+def group_position_specs(
+    batch,
+    *,
+    tab_subsets: Sequence[Sequence[str]] = (),
+    gap_groups: Mapping[str, Sequence[str]] | None = None,
+    order: Sequence[str] = ("user_id", TS),
+    id_col: str = ID,
+) -> list[str]:
+    """Add click-tab and first/last-gap specs to a ``KeyedFeatures`` batch (null keys group together).
+
+    Per key set: size, and ``min``/``max`` of ``struct(order..., id)`` -- the
+    first and last row -- as partial aggregations.
+    """
     k = list(order) + [id_col]
-    first = F.min(F.struct(*k))
-    last = F.max(F.struct(*k))
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        first[id_col].alias("__first_id"),
-        last[id_col].alias("__last_id"),
-        first[TS].alias("__first_ts"),
-        last[TS].alias("__last_ts"),
-    )
+    names = []
+
+    def aggs():
+        first, last = F.min(F.struct(*k)), F.max(F.struct(*k))
+        return {"__pn": F.count(F.lit(1)), "__pf": first, "__pl": last}
+
+    single = F.col("__pn") == F.lit(1)
+    for subset in tab_subsets:
+        name = "click_" + "_".join(c for c in subset if c != "day") + "_tab"
+        names.append(name)
+        expr = (
+            F.when(single, F.lit(0))
+            .when(F.col(id_col) == F.col("__pf")[id_col], F.lit(2))
+            .when(F.col(id_col) == F.col("__pl")[id_col], F.lit(3))
+            .otherwise(F.lit(1))
+            .cast("int")
+        )
+        batch.add(subset, aggs(), {name: expr}, mask_null_keys=False)
+    for p, keys in (gap_groups or {}).items():
+        f, l = f"{p}_day_diffTime_first", f"{p}_day_diffTime_last"
+        names += [f, l]
+        batch.add(
+            keys,
+            aggs(),
+            {
+                f: F.when(single, F.lit(-1)).otherwise(F.col(TS) - F.col("__pf")[TS]).cast("bigint"),
+                l: F.when(single, F.lit(-1)).otherwise(F.col("__pl")[TS] - F.col(TS)).cast("bigint"),
+            },
+            mask_null_keys=False,
+        )
+    return names
 
 
 def group_position_features(
@@ -157,33 +191,11 @@ def group_position_features(
     id_col: str = ID,
 ) -> DataFrame:
     """Click tab codes and first/last gaps; one aggregation + one join per distinct key set."""
-    gap_groups = gap_groups or {}
-    plan: dict[tuple, dict] = {}
-    for subset in tab_subsets:
-        plan.setdefault(tuple(subset), {"tab": None, "gap": None})["tab"] = (
-            "click_" + "_".join(c for c in subset if c != "day") + "_tab"
-        )
-    for p, keys in gap_groups.items():
-        plan.setdefault(tuple(keys), {"tab": None, "gap": None})["gap"] = p
-    for keys, what in plan.items():
-        feat = _group_positions(df, keys, order, id_col)
-        df = attach(df, feat, list(keys), null_safe=True)
-        new = {}
-        single = F.col("__n") == F.lit(1)
-        if what["tab"]:
-            new[what["tab"]] = (
-                F.when(single, F.lit(0))
-                .when(F.col(id_col) == F.col("__first_id"), F.lit(2))
-                .when(F.col(id_col) == F.col("__last_id"), F.lit(3))
-                .otherwise(F.lit(1))
-                .cast("int")
-            )
-        if what["gap"]:
-            p = what["gap"]
-            new[f"{p}_day_diffTime_first"] = F.when(single, F.lit(-1)).otherwise(F.col(TS) - F.col("__first_ts")).cast("bigint")
-            new[f"{p}_day_diffTime_last"] = F.when(single, F.lit(-1)).otherwise(F.col("__last_ts") - F.col(TS)).cast("bigint")
-        df = df.withColumns(new).drop("__n", "__first_id", "__last_id", "__first_ts", "__last_ts")
-    return df
+    from clickwright.operators.grouped import KeyedFeatures
+
+    batch = KeyedFeatures()
+    group_position_specs(batch, tab_subsets=tab_subsets, gap_groups=gap_groups, order=order, id_col=id_col)
+    return batch.apply(df)
 
 
 def click_position_tab(df: DataFrame, subsets: Sequence[Sequence[str]] = CLICK_TAB_SUBSETS) -> DataFrame:

@@ -97,4 +97,24 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._clickwright_path = path
+    return out
+
+
+def fresh_source(df: DataFrame, transform=None):
+    """A callable returning the same data as a *new* relation (fresh attribute ids).
+
+    Feature tables built from a fresh read join back onto rows derived from
+    ``df`` without self-join attribute de-duplication, which otherwise makes
+    plan analysis grow quadratically with the number of joined features.
+    Falls back to ``df`` itself when it is not a materialised table.
+    """
+    path = getattr(df, "_clickwright_path", None)
+    schema = df.schema
+
+    def make():
+        base = df.sparkSession.read.schema(schema).parquet(path) if path else df
+        return transform(base) if transform else base
+
+    return make

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from clickwright.operators import grouped as gr
 from clickwright.operators import preprocess as pp
 from clickwright.operators import sequence as seq
-from clickwright.plans.ordered import materialize
+from clickwright.plans.ordered import fresh_source, materialize
 from clickwright.schema import (
     ACTIVE_PER_GRAIN, AGGREGATE_LEVEL, CLICK_TAB_SUBSETS, EXPOSE_PAIRS, FIRST_LAST_GROUPS, LAST_VIEW_GRAINS,
     MINUTE_BUCKETS, RELATIVE_RATIO, ROLL_SECONDS, ColumnRoles,
@@ -44,33 +44,42 @@ def feature_columns(roll_seconds: int = ROLL_SECONDS) -> dict[str, list[str]]:
     }
 
 
-def _ordered_family(base: DataFrame, roll_seconds: int) -> DataFrame:
+def _ordered_family(base: DataFrame, roll_seconds: int, source=None) -> DataFrame:
     """All ordered features, one (key, second) table per key set."""
     d = seq.ordered_key_features(base, ["user_id"], last_gap="user_id_lasttime_diff", next_gap="user_id_nexttime_diff",
-                                 rolling=("user", roll_seconds))
-    d = seq.ordered_key_features(d, ["item_id"], last_gap="item_id_lasttime_diff", next_gap="item_id_nexttime_diff")
-    d = seq.ordered_key_features(d, ["user_id", "shop_id"], rolling=("user_shop", roll_seconds), last_view="diffWithLastView_shop_id")
-    d = seq.ordered_key_features(d, ["user_id", "item_id"], rolling=("user_item", roll_seconds))
+                                 rolling=("user", roll_seconds), source=source)
+    d = seq.ordered_key_features(d, ["item_id"], last_gap="item_id_lasttime_diff", next_gap="item_id_nexttime_diff", source=source)
+    d = seq.ordered_key_features(d, ["user_id", "shop_id"], rolling=("user_shop", roll_seconds),
+                                 last_view="diffWithLastView_shop_id", source=source)
+    d = seq.ordered_key_features(d, ["user_id", "item_id"], rolling=("user_item", roll_seconds), source=source)
     for g in LAST_VIEW_GRAINS:
         if g != "shop_id":
-            d = seq.ordered_key_features(d, ["user_id", g], last_view=f"diffWithLastView_{g}")
+            d = seq.ordered_key_features(d, ["user_id", g], last_view=f"diffWithLastView_{g}", source=source)
     return d
 
 
 def build_features(df: DataFrame, roll_seconds: int = ROLL_SECONDS, materialize_input: bool = True) -> DataFrame:
     """Every feature generator of the reference, in its configuration, on a log with time parts."""
-    base = df if {"maphour", "mapmin"} <= set(df.columns) else pp.time_parts(df)
+    needs_time = not ({"maphour", "mapmin"} <= set(df.columns))
     if materialize_input:
-        base = materialize(base, "features-input")
+        df = materialize(df, "features-input")
+    # every family and every feature table reads its own fresh relation of the input
+    fresh = fresh_source(df, pp.time_parts if needs_time else None)
+    base = fresh()
     cols = feature_columns(roll_seconds)
+    # every grouped feature, merged by key set: one aggregation and one join per key set
+    batch = gr.KeyedFeatures()
+    gr.aggregate_level_specs(batch)
+    gr.active_per_grain_specs(batch)
+    gr.relative_ratio_specs(batch)
+    seq.group_position_specs(batch, tab_subsets=CLICK_TAB_SUBSETS, gap_groups=FIRST_LAST_GROUPS)
+    gr.daily_specs(batch)
+    grouped_cols = batch.output_columns()
     families = [
-        gr.expose_ratio(base).select(ID, *cols["expose"]),
-        gr.aggregate_level(base).select(ID, *cols["aggregate_level"]),
-        gr.active_per_grain(base).select(ID, *cols["active"]),
-        gr.relative_ratio(base).select(ID, *cols["relative"]),
-        seq.group_position_features(base, tab_subsets=CLICK_TAB_SUBSETS, gap_groups=FIRST_LAST_GROUPS).select(ID, *cols["positions"]),
-        _ordered_family(base, roll_seconds).select(ID, *cols["ordered"], *cols["last_view"]),
-        gr.minute_bucket_clicks(gr.daily_user_clicks(gr.daily_shop_item_count(base))).select(ID, *cols["size"]),
+        gr.expose_ratio(fresh(), source=fresh).select(ID, *cols["expose"]),
+        batch.apply(fresh(), source=fresh).select(ID, *grouped_cols),
+        _ordered_family(fresh(), roll_seconds, source=fresh).select(ID, *cols["ordered"], *cols["last_view"]),
+        gr.minute_bucket_clicks(fresh(), source=fresh).select(ID, *[c for c in cols["size"] if c.startswith("min")]),
     ]
     out = base
     for fam in families:
@@ -102,7 +111,7 @@ def clean_experiment(df: DataFrame, label: str = "is_trade", threshold: float =
     return sp.split_two_level_by_day(imputed)
 
 
-def train_evaluate(df: DataFrame, features: list[str], label: str = "is_trade", **gbt) -> dict:
+def train_evaluate(df: DataFrame, features: list[str], label: str = "is_trade", model=None, **gbt) -> dict:
     """Last-day split -> GBT fit -> test-day log-loss and AUC."""
     from clickwright.operators import metrics as me
     from clickwright.operators import model as mo
@@ -111,7 +120,7 @@ def train_evaluate(df: DataFrame, features: list[str], label: str = "is_trade",
     split = sp.split_last_period(df, "day")
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
-    model = mo.gbt_fit(train, features, label, **gbt)
+    model = model or mo.gbt_fit(train, features, label, **gbt)
     scored = mo.predict_proba(model, test, features)
     return {
         "log_loss": me.log_loss(scored, label, "p").first()[0],

@@ -102,14 +102,28 @@ def predicted_category_match(
 
 def label_encode(df: DataFrame, columns: Sequence[str] = COL_NEED_ENCODE) -> DataFrame:
     """Replace each value by its 0-based position among the sorted distinct values (numeric
-    order for numbers); null gets the next code after all values.  Columns not present are skipped."""
-    for c in [c for c in columns if c in df.columns]:
-        vals = df.select(c).where(F.col(c).isNotNull()).distinct()
-        ranked = global_rank(vals, [F.col(c).asc()], "__code")
-        n = ranked.count()
-        mapping = ranked.select(c, (F.col("__code") - F.lit(1)).alias("__code"))
-        df = attach(df, mapping, [c])
-        df = df.withColumn(c, F.when(F.col(c).isNull(), F.lit(n)).otherwise(F.col("__code")).cast("bigint")).drop("__code")
+    order for numbers); null gets the next code after all values.  Columns not present are skipped.
+
+    All columns of one type are ranked together: their (column, value) pairs are
+    stacked, de-duplicated and sorted once by a distributed global rank; a
+    column's codes are its ranks minus the column's first rank.
+    """
+    cols = [c for c in columns if c in df.columns]
+    by_type: dict[str, list[str]] = {}
+    for c in cols:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for dtype, group in by_type.items():
+        stacked = None
+        for c in group:
+            part = df.select(F.lit(c).alias("__c"), F.col(c).alias("__v")).where(F.col("__v").isNotNull())
+            stacked = part if stacked is None else stacked.unionByName(part)
+        ranked = global_rank(stacked.distinct(), [F.col("__c").asc(), F.col("__v").asc()], "__r")
+        bounds = {r["__c"]: (r["lo"], r["n"]) for r in ranked.groupBy("__c").agg(F.min("__r").alias("lo"), F.count(F.lit(1)).alias("n")).collect()}
+        for c in group:
+            lo, n = bounds.get(c, (1, 0))
+            mapping = ranked.where(F.col("__c") == F.lit(c)).select(F.col("__v").alias(c), (F.col("__r") - F.lit(lo)).alias("__code"))
+            df = attach(df, mapping, [c])
+            df = df.withColumn(c, F.when(F.col(c).isNull(), F.lit(n)).otherwise(F.col("__code")).cast("bigint")).drop("__code")
     return df
 
 

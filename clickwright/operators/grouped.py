@@ -68,7 +68,8 @@ class KeyedFeatures:
             src = source() if source else df
             src = src if spec["null_safe"] else src.where(all_not_null(keys))
             feat = src.groupBy(*keys).agg(*[e.alias(n) for n, e in spec["aggs"].items()])
-            joined = attach(df, feat, list(keys), null_safe=spec["null_safe"])
+            # the projection below keeps only the row columns, so the renamed right keys vanish there
+            joined = attach(df, feat, list(keys), null_safe=spec["null_safe"], drop_right_keys=False)
             keep = [c for c in df.columns if c not in spec["post"]]
             df = joined.select(*keep, *[e.alias(n) for n, e in spec["post"].items()])
         return df

@@ -13,7 +13,8 @@ def all_not_null(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
-def attach(df: DataFrame, features: DataFrame, keys: Sequence[str], *, null_safe: bool = False) -> DataFrame:
+def attach(df: DataFrame, features: DataFrame, keys: Sequence[str], *, null_safe: bool = False,
+           drop_right_keys: bool = True) -> DataFrame:
     """Left equi-join of a per-key feature table (unique on ``keys``) onto the rows.
 
     No broadcast is forced: AQE measures the materialised feature table and
@@ -26,7 +27,8 @@ def attach(df: DataFrame, features: DataFrame, keys: Sequence[str], *, null_safe
         return df.join(features, on=keys, how="left")
     renamed = features.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    return df.join(renamed, cond, "left").drop(*[f"__r_{k}" for k in keys])
+    joined = df.join(renamed, cond, "left")
+    return joined.drop(*[f"__r_{k}" for k in keys]) if drop_right_keys else joined
 
 
 def left_join_features(df: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -381,11 +381,56 @@ def q_signed(spark, sf_dir):
 # ---------------------------------------------------------------- 2.15 pipelines
 
 
-@register("preprocess")
+def _preprocess_sql() -> str:
+    from clickwright.plans.q_preprocess import ENCODED, TIME_SQL_COLS
+    from clickwright.sources.clicklog import CLICKLOG_COLUMNS
+
+    ctes = [
+        "ctok AS (SELECT instance_id, string_split(item_category_list, ';')[2] AS v FROM clicklog)",
+        "cvc AS (SELECT v, count(*) AS cnt FROM ctok WHERE v IS NOT NULL GROUP BY v)",
+        "cr AS (SELECT v, cnt, sum(cnt) OVER (ORDER BY cnt DESC, v ASC ROWS UNBOUNDED PRECEDING) AS cum FROM cvc)",
+        "ck AS (SELECT v, row_number() OVER (ORDER BY cnt ASC, v ASC) AS code FROM cr "
+        "WHERE cum < (SELECT count(*) FROM clicklog) * 0.95)",
+        "ptok AS (SELECT instance_id, TRY_CAST(unnest(string_split(item_property_list, ';')) AS BIGINT) AS t FROM clicklog)",
+        "pvc AS (SELECT t, count(*) AS cnt FROM ptok WHERE t IS NOT NULL GROUP BY t)",
+        "pr AS (SELECT t, row_number() OVER (ORDER BY cnt DESC, t) AS rn, "
+        "sum(cnt) OVER (ORDER BY cnt DESC, t ROWS UNBOUNDED PRECEDING) AS cum FROM pvc)",
+        "pk0 AS (SELECT t, rn FROM pr WHERE cum < (SELECT sum(cnt) FROM pvc) * 0.8)",
+        "pk AS (SELECT t FROM pk0 WHERE (SELECT count(*) FROM pk0) <= 50 OR rn <= 40)",
+        "pf AS (SELECT instance_id, string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) AS flags FROM "
+        "(SELECT DISTINCT ptok.instance_id, ptok.t FROM ptok JOIN pk ON ptok.t = pk.t) GROUP BY instance_id)",
+    ]
+    from clickwright.plans.q_preprocess import _hit_sql
+
+    enc = {
+        c: f"CAST(CASE WHEN c.{c} IS NULL THEN (SELECT count(DISTINCT {c}) FROM clicklog) "
+           f"ELSE dense_rank() OVER (ORDER BY c.{c}) - 1 END AS BIGINT) AS {c}"
+        for c in ENCODED
+    }
+    time_cols = {t.rsplit(" AS ", 1)[1]: t.replace("context_timestamp", "c.context_timestamp") for t in TIME_SQL_COLS}
+    cols = []
+    for c in CLICKLOG_COLUMNS:
+        cols.append(enc.get(c) or time_cols.get(c) or f"c.{c}")
+    cols += [time_cols["maphour"], time_cols["mapmin"],
+             "CAST(coalesce(ck.code, 0) AS INTEGER) AS secondLevelCatagory_Most_Freq",
+             "coalesce(pf.flags, '') AS property_flags",
+             _hit_sql("c.item_category_list", r"(\d+):").replace("predict_category_property", "c.predict_category_property") + " AS hitCategory",
+             _hit_sql("c.item_property_list", r":(\w+);").replace("predict_category_property", "c.predict_category_property") + " AS hitProperty"]
+    body = ("SELECT " + ", ".join(cols) + " FROM clicklog c LEFT JOIN ctok ON c.instance_id = ctok.instance_id "
+            "LEFT JOIN ck ON ctok.v = ck.v LEFT JOIN pf ON c.instance_id = pf.instance_id")
+    return with_clicklog(body, *ctes)
+
+
+@register("preprocess", _preprocess_sql())
 def q_preprocess(spark, sf_dir):
-    from clickwright.operators.preprocess import preprocess
+    from clickwright.operators.preprocess import kept_property_tokens, preprocess
 
-    return preprocess(log(spark, sf_dir))
+    df = log(spark, sf_dir)
+    tokens = sorted(kept_property_tokens(df))
+    out = preprocess(df, property_tokens=tokens)
+    # the data-dependent flag columns, folded into one comparable column (kept tokens present in the row)
+    flags = F.concat_ws(",", *[F.when(F.col(f"preperty_{t}"), F.lit(str(t))) for t in tokens]) if tokens else F.lit("")
+    return out.withColumn("property_flags", flags).drop(*[f"preperty_{t}" for t in tokens])
 
 
 @register("load_and_prepare")

@@ -433,11 +433,30 @@ def q_preprocess(spark, sf_dir):
     return out.withColumn("property_flags", flags).drop(*[f"preperty_{t}" for t in tokens])
 
 
-@register("load_and_prepare")
+def _load_and_prepare_sql() -> str:
+    from clickwright.plans.catalog import ORACLE
+    from clickwright.plans.pipeline import feature_columns
+    from clickwright.plans.q_pipeline import FAMILY_SQL
+    from clickwright.sources.clicklog import CLICKLOG_SQL
+
+    pre_cte = f"clicklog AS ({ORACLE['preprocess']})"
+    ops = [op for fam in FAMILY_SQL.values() for op in fam]
+    ctes = [f"f_{op} AS ({ORACLE[op].replace(CLICKLOG_SQL, pre_cte, 1)})" for op in ops]
+    feats = [c for fam in feature_columns().values() for c in fam]
+    body = "SELECT base.*, " + ", ".join(feats) + " FROM clicklog base " + " ".join(f"LEFT JOIN f_{op} USING (instance_id)" for op in ops)
+    return "WITH " + pre_cte + ",\n" + ",\n".join(ctes) + "\n" + body
+
+
+@register("load_and_prepare", _load_and_prepare_sql())
 def q_load_and_prepare(spark, sf_dir):
+    from clickwright.operators.preprocess import kept_property_tokens
     from clickwright.plans.pipeline import load_and_prepare
 
-    return load_and_prepare(log(spark, sf_dir))[0]
+    df = log(spark, sf_dir)
+    tokens = sorted(kept_property_tokens(df))
+    out = load_and_prepare(df, property_tokens=tokens)[0]
+    flags = F.concat_ws(",", *[F.when(F.col(f"preperty_{t}"), F.lit(str(t))) for t in tokens]) if tokens else F.lit("")
+    return out.withColumn("property_flags", flags).drop(*[f"preperty_{t}" for t in tokens])
 
 
 @register(

@@ -59,14 +59,33 @@ def q_index_to_string(spark, sf_dir):
     return ml.index_to_string(idx, "item_brand_idIdx", "brand_original", model.labels).select("instance_id", "brand_original")
 
 
-@register("ml_pipeline")
+def _rank_cte(name: str, col: str) -> str:
+    return (f"{name} AS (SELECT CAST({col} AS VARCHAR) AS b, row_number() OVER (ORDER BY count(*) DESC, CAST({col} AS VARCHAR)) - 1 AS idx "
+            f"FROM clicklog WHERE {col} IS NOT NULL GROUP BY 1)")
+
+
+def _hot_sql(name: str, col: str, alias: str) -> str:
+    idx = f"coalesce({name}.idx, (SELECT count(*) FROM {name}))"
+    return f"CAST(CASE WHEN {idx} < (SELECT count(*) FROM {name}) THEN {idx} ELSE -1 END AS INTEGER) AS {alias}"
+
+
+@register(
+    "ml_pipeline",
+    with_clicklog(
+        "SELECT c.instance_id, " + _hot_sql("rb", "item_brand_id", "brand_hot") + ", " + _hot_sql("rs", "shop_id", "shop_hot")
+        + " FROM clicklog c LEFT JOIN rb ON CAST(c.item_brand_id AS VARCHAR) = rb.b LEFT JOIN rs ON CAST(c.shop_id AS VARCHAR) = rs.b",
+        _rank_cte("rb", "item_brand_id"), _rank_cte("rs", "shop_id"),
+    ),
+)
 def q_ml_pipeline(spark, sf_dir):
     out = ml.ml_pipeline(log(spark, sf_dir).select("instance_id", "item_brand_id", "shop_id"), ["item_brand_id", "shop_id"])
-    return out.select(
-        "instance_id",
-        vector_to_array("item_brand_idIdx_OneHot").alias("brand_one_hot"),
-        vector_to_array("shop_idIdx_OneHot").alias("shop_one_hot"),
-    )
+
+    def hot(c):
+        arr = vector_to_array(c)
+        return (F.coalesce(F.array_position(arr, 1.0), F.lit(0)) - 1).cast("int")
+
+    # position of the 1 in each one-hot vector (-1 for the dropped last category)
+    return out.select("instance_id", hot("item_brand_idIdx_OneHot").alias("brand_hot"), hot("shop_idIdx_OneHot").alias("shop_hot"))
 
 
 @register(

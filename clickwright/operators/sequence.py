@@ -31,6 +31,9 @@ def _roll_tag(seconds: int) -> str:
     return "10" if seconds == 600 else str(seconds // 60)
 
 
+BUCKET_SECONDS = 7 * 86400
+
+
 def ordered_key_features(
     df: DataFrame,
     keys: Sequence[str],
@@ -42,6 +45,7 @@ def ordered_key_features(
     ts: str = TS,
     id_col: str = ID,
     source=None,
+    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """All ordered features of one key set from one ``(key, second)`` table and one join.
 
@@ -51,29 +55,62 @@ def ordered_key_features(
       (later clicks) and ``..._af``: rows with ``-s < t - ts < 0`` (earlier clicks), as doubles;
     * ``last_view`` -- ts minus the latest strictly earlier ts, -1.0 if none.
 
+    Windows are partitioned by (key, time bucket of ``bucket_seconds``), so a
+    window partition holds at most one bucket of distinct seconds however long
+    the log.  Seconds within ``s`` of a bucket edge are copied into the
+    neighbouring bucket as halo rows (counted, never emitted); the previous /
+    next second across buckets comes from a per-(key, bucket) min/max summary.
     A row whose key has a null component has no history: gaps -1, counts 0.
     """
     keys = list(keys)
+    s_roll = int(rolling[1]) if rolling else 0
+    width = max(int(bucket_seconds), s_roll)
     sec = (
         (source() if source else df).where(all_not_null(keys + [ts]))
         .groupBy(*keys, ts)
         .agg(F.count(F.lit(1)).alias("__n"), F.min(id_col).alias("__id_lo"), F.max(id_col).alias("__id_hi"))
+        .withColumn("__b", F.floor(F.col(ts) / F.lit(width)))
     )
-    w = Window.partitionBy(*keys).orderBy(ts)
+    need_prev, need_next = bool(last_gap or last_view), bool(next_gap)
+    rows = sec.withColumn("__core", F.lit(True))
+    if rolling:
+        start = F.col("__b") * F.lit(width)
+        halo_prev = sec.where(F.col(ts) - start < F.lit(s_roll)).withColumn("__b", F.col("__b") - 1)
+        halo_next = sec.where(start + F.lit(width) - F.col(ts) <= F.lit(s_roll)).withColumn("__b", F.col("__b") + 1)
+        rows = rows.unionByName(halo_prev.withColumn("__core", F.lit(False))).unionByName(
+            halo_next.withColumn("__core", F.lit(False))
+        )
+    w = Window.partitionBy(*keys, "__b").orderBy(ts)
+    core_ts = F.when(F.col("__core"), F.col(ts))
     cols = {}
-    if last_gap or last_view:
-        cols["__prev"] = F.lag(ts).over(w)
-    if next_gap:
-        cols["__next"] = F.lead(ts).over(w)
+    # previous / next *core* second inside the bucket (halo rows skipped); both frames are
+    # "unbounded preceding .. -1 row", which Spark evaluates incrementally
+    if need_prev:
+        cols["__prev_in"] = F.last(core_ts, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    if need_next:
+        w_desc = Window.partitionBy(*keys, "__b").orderBy(F.col(ts).desc())
+        cols["__next_in"] = F.last(core_ts, ignorenulls=True).over(w_desc.rowsBetween(Window.unboundedPreceding, -1))
     if rolling:
-        s = int(rolling[1])
 
         def upto(k):
             return F.sum("__n").over(w.rangeBetween(Window.unboundedPreceding, k))
 
-        cols["__bf"] = F.coalesce(upto(s - 1) - upto(0), F.lit(0))
-        cols["__af"] = F.coalesce(upto(-1) - upto(-s), upto(-1), F.lit(0))
-    feat = sec.withColumns(cols).drop("__n")
+        cols["__bf"] = F.coalesce(upto(s_roll - 1) - upto(0), F.lit(0))
+        cols["__af"] = F.coalesce(upto(-1) - upto(-s_roll), upto(-1), F.lit(0))
+    feat = rows.withColumns(cols).where(F.col("__core")).drop("__n", "__core")
+    if need_prev or need_next:
+        # neighbouring non-empty buckets: one row per (key, bucket), a window per key over buckets
+        wb = Window.partitionBy(*keys).orderBy("__b")
+        summary = sec.groupBy(*keys, "__b").agg(F.min(ts).alias("__bmin"), F.max(ts).alias("__bmax"))
+        summary = summary.select(
+            *keys, "__b", F.lag("__bmax").over(wb).alias("__prev_b"), F.lead("__bmin").over(wb).alias("__next_b")
+        )
+        feat = feat.join(summary, keys + ["__b"], "left")
+        if need_prev:
+            feat = feat.withColumn("__prev", F.coalesce(F.col("__prev_in"), F.col("__prev_b")))
+        if need_next:
+            feat = feat.withColumn("__next", F.coalesce(F.col("__next_in"), F.col("__next_b")))
+    feat = feat.drop("__b")
     out = attach(df, feat, keys + [ts])
     new = {}
     if last_gap:

@@ -21,6 +21,29 @@ def brute(rows, seconds=600):
     return out
 
 
+def run_features(df, bucket):
+    from clickwright.operators.sequence import ordered_key_features
+
+    df = ordered_key_features(df, ["user_id"], rolling=("user", 600), last_gap="user_id_lasttime_diff",
+                              next_gap="user_id_nexttime_diff", bucket_seconds=bucket)
+    return ordered_key_features(df, ["user_id", "shop_id"], last_view="diffWithLastView_shop_id", bucket_seconds=bucket)
+
+
+def test_random_logs_match_bruteforce_small_buckets(spark):
+    rnd = random.Random(11)
+    rows = [(rid, rnd.randint(1, 4), rnd.choice("AB"), rnd.randint(0, 9000)) for rid in range(300)]
+    df = spark.createDataFrame(rows, "instance_id bigint, user_id bigint, shop_id string, context_timestamp bigint")
+    expected = brute(rows)
+    for bucket in (600, 1000, 2500):
+        out = run_features(df, bucket)
+        got = {
+            r["instance_id"]: (r["user_count_10_bf"], r["user_count_10_af"], r["diffWithLastView_shop_id"],
+                               r["user_id_lasttime_diff"], r["user_id_nexttime_diff"])
+            for r in out.collect()
+        }
+        assert got == expected, bucket
+
+
 def test_random_logs_match_bruteforce(spark):
     rnd = random.Random(7)
     rows = []

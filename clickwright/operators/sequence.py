@@ -136,8 +136,8 @@ def ordered_key_features(
         new[f"{prefix}_count_{tag}_af"] = F.coalesce(F.col("__af"), F.lit(0)).cast("double")
     if last_view:
         new[last_view] = F.coalesce(F.col(ts) - F.col("__prev"), F.lit(-1)).cast("double")
-    out = out.withColumns(new)
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    keep = [c for c in df.columns if c not in new]
+    return out.select(*keep, *[e.alias(n) for n, e in new.items()])
 
 
 def last_time_gap(df: DataFrame, columns: Sequence[str] = ("user_id", "item_id")) -> DataFrame:

@@ -37,3 +37,19 @@ def test_scan_pushdown_and_pruning(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,7)]" in plan
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan
+
+
+def test_ordered_windows_are_bucketed(spark):
+    """Sequence windows partition by (key, time bucket); the only per-key windows run over the
+    bucket summary (one row per key and bucket)."""
+    plan = executed_plan(QUERIES["rolling_neighbor_counts"](spark, SF_SMALL))
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows
+    for line in windows:
+        partition_spec = line.split("], [", 1)[1].split("]", 1)[0]
+        assert "__b" in partition_spec, line
+    plan = executed_plan(QUERIES["last_time_gap"](spark, SF_SMALL))
+    for line in [line for line in plan.splitlines() if "Window [" in line]:
+        partition_spec = line.split("], [", 1)[1].split("]", 1)[0]
+        ordered_by_bucket = "ORDER BY __b" in line or "__b#" in line.split("], [")[-1]
+        assert "__b" in partition_spec or ordered_by_bucket, line

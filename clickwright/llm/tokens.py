@@ -2,12 +2,13 @@
 
 For a byte-level BPE a space between two visible characters always starts a new pre-token, and nothing left of
 it bears on what is right of it.  So a text may be cut at these spaces and the pieces encoded by themselves: the ids are the same.
-Frequent pieces are then looked up instead of encoded again.  The memo holds at most ``MEMO`` pieces a
-worker; pieces beyond that are encoded once per batch.  For other tokenizers ``whole`` encodes texts undivided.
+Frequent pieces are then looked up instead of encoded again.  The memo holds about ``MEMO`` pieces a
+worker; once it is full, new pieces are encoded once per batch.  For other tokenizers ``whole`` encodes texts undivided.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -15,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MEMO = 300_000
+MEMO = 600_000
 MEMO_CHARS = 64
+RUN = 128
 SLICE = 1 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_NEAR = re.compile(r"\s | \s")
+_NEAR = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -35,6 +37,10 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.memo: dict[str, bytes] = {}
+        if self.by_word:
+            vocabulary = self.tok.get_vocab()
+            self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # byte-level sign of a space
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
@@ -52,48 +58,47 @@ class Encoder:
             at = cut.start()
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of `` word`` for each word."""
-        odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
+        """Ids of `` word`` for each word.  Plain words go in one run: in it a token starts with a space just where a word does."""
+        odd = [w for w in words if not w or " " in w or w[0].isspace() or w[-1].isspace()]
         out = dict(zip(odd, self.whole([f" {w}" for w in odd])))
-        plain = [w for w in words if w not in out]
-        for i in range(0, len(plain), 4096):
-            group = plain[i : i + 4096]
-            got = self.tok.encode(" " + " ".join(group), add_special_tokens=False)
-            ids = np.array(got.ids, self.dtype)
-            ends = np.cumsum(np.fromiter((len(w) + 1 for w in group), np.int64, len(group)))
-            of = np.searchsorted(ends, np.array(got.offsets, np.int64).reshape(-1, 2)[:, 1])
-            stops = np.searchsorted(of, np.arange(len(group)), "right").tolist()
-            raw, size, start = ids.tobytes(), self.dtype.itemsize, 0
-            for w, stop in zip(group, stops):
-                out[w] = raw[start * size : stop * size]
-                start = stop
+        plain = [w for w in words if w not in out] if odd else words
+        groups = [plain[i : i + RUN] for i in range(0, len(plain), RUN)]
+        size = self.dtype.itemsize
+        for i in range(0, len(groups), 64):
+            some = groups[i : i + 64]
+            for group, raw in zip(some, self.whole([" " + " ".join(g) for g in some])):
+                cuts = (np.flatnonzero(self.spaced[np.frombuffer(raw, self.dtype)]) * size).tolist()
+                if len(cuts) != len(group):
+                    out.update(zip(group, self.whole([f" {w}" for w in group])))
+                    continue
+                out.update(zip(group, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of ``dtype``."""
         if not self.by_word:
             return self.whole(texts)
+        gc.disable()  # the lists of words below are large and hold no cycles
+        try:
+            return self._by_word(texts)
+        finally:
+            gc.enable()
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
         pieces = [list(self._pieces(t)) for t in texts]
+        heads = iter(self.whole([p.pop(0) for lists in pieces for p in lists]))
         words: set[str] = set()
         for lists in pieces:
             for p in lists:
-                words.update(p[1:])
+                words.update(p)
         memo = self.memo
-        fresh = self._learn([w for w in words if w not in memo])
-        heads = iter(self.whole([p[0] for lists in pieces for p in lists]))
-        if len(memo) < MEMO:
-            memo.update((w, b) for w, b in fresh.items() if len(w) <= MEMO_CHARS)
-        fresh = {w: b for w, b in fresh.items() if w not in memo}
-        out = []
-        for lists in pieces:
-            parts = []
-            for p in lists:
-                parts.append(next(heads))
-                if fresh:
-                    parts += [memo[w] if w in memo else fresh[w] for w in p[1:]]
-                else:
-                    parts += map(memo.__getitem__, p[1:])
-            out.append(b"".join(parts))
+        fresh = self._learn(list(words.difference(memo)))
+        memo.update(fresh)
+        out = [b"".join(next(heads) + b"".join(map(memo.__getitem__, p)) for p in lists) for lists in pieces]
+        full = len(memo) > MEMO
+        for w in fresh:
+            if full or len(w) > MEMO_CHARS:
+                del memo[w]
         return out
 
 

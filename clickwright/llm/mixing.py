@@ -104,16 +104,16 @@ def plan_mix(
     """The plan for ``rows`` (from ``measured``)."""
     per = rows.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("_mix_tokens").alias("tokens"))
     per = settle(per, "mix-totals")
-    total = F.col("total")
-    per = settle(per.crossJoin(F.broadcast(per.agg(F.sum("tokens").alias("total")))).withColumn("share", F.col("tokens") / total), "mix-shares")
+    total = per.agg(F.sum("tokens")).first()[0]
+    per = settle(per.withColumn("share", F.col("tokens") / F.lit(total or 1)), "mix-shares")
     tau = find_tau(per, target_entropy, max_repeats, budget) if not per.isEmpty() else 1.0
     power = per.withColumn("w", F.pow("share", F.lit(tau)))
-    scale = power.agg(F.sum("w").alias("z"), F.min(F.col("w") / F.col("share")).alias("least"))  # one row
-    power = power.crossJoin(F.broadcast(scale))
-    passes = F.col("w") / F.col("share") / F.col("least")
+    z, least = power.agg(F.sum("w"), F.min(F.col("w") / F.col("share"))).first()
+    z, least = F.lit(z or 1.0), F.lit(least or 1.0)
+    passes = F.col("w") / F.col("share") / least
     if budget is not None:
-        passes = F.lit(float(budget)) * F.col("w") / F.col("z") / F.col("tokens")
-    power = power.withColumn("weight", F.col("w") / F.col("z")).withColumn("passes", F.least(F.lit(float(max_repeats)), passes))
+        passes = F.lit(float(budget)) * F.col("w") / z / F.col("tokens")
+    power = power.withColumn("weight", F.col("w") / z).withColumn("passes", F.least(F.lit(float(max_repeats)), passes))
     power = power.withColumn("whole", F.floor(F.col("passes") + 1e-9).cast("long"))
     rest = F.round(F.greatest(F.lit(0.0), F.col("passes") - F.col("whole")) * F.col("tokens")).cast("long")
     blocks = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / block_tokens)).cast("int")

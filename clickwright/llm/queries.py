@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickwright.llm import arrow_tokens, exact_dedup, mixing, packing, quality_rules, simhash_dedup
+from clickwright.llm import arrow_tokens, exact_dedup, licenses, mixing, packing, pii, quality_rules, simhash_dedup, suffix_dedup, warc_audit
 from clickwright.llm.common import documents, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,51 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.in_order(mixing.emit(rows, mix), mix)
     names = {"source": "source", "tokens": "n_tokens", "pass": "pass", "block": "block", "weight": "weight", "turn": "turn", "hash": "key"}
     return out.select("doc_id", *[F.col(f"_mix_{a}").alias(b) for a, b in names.items()])
+
+
+@register("op3_disclosure_control")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), *pii.digest_columns(found))
+
+
+@register("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+@register("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir), length=100)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register(
+    "op2_merkle_fixity",
+    """WITH r AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                   || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+                   || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Type: text/html'
+                   || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10)
+                   || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM pages),
+            o AS (SELECT page_id, rec, row_number() OVER (ORDER BY page_id) - 1 AS ord FROM r),
+            f AS (SELECT *, ord // 4096 AS file, octet_length(encode(rec)) AS n FROM o)
+       SELECT page_id, CAST(ord AS BIGINT) AS ord, CAST(file AS BIGINT) AS file,
+              CAST(coalesce(sum(n) OVER (PARTITION BY file ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+              CAST(n AS BIGINT) AS length, sha256(rec) AS record_sha256, page_id % 97 = 13 AS damaged
+       FROM f""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages with their places, and whether the audit against a second replica finds them damaged.
+
+    The second replica is the first one with a flipped byte in the records of every 97th page.
+    """
+    pages = documents(spark, sf_dir, "pages")
+    record = warc_audit.warc_record(F.col("url"), F.col("html"), F.col("page_id"))
+    good = pages.select("page_id", record.alias("record"))
+    flipped = F.concat(F.lit(b"w"), F.substring("record", F.lit(2), F.octet_length("record")))
+    bad = good.select("page_id", F.when(F.col("page_id") % 97 == 13, flipped).otherwise(F.col("record")).alias("record"))
+    one, two = warc_audit.leaves(good), warc_audit.leaves(bad)
+    found = warc_audit.audit(warc_audit.merkle_tree(one), warc_audit.merkle_tree(two)).select("ord", F.lit(True).alias("damaged"))
+    out = one.join(found, "ord", "left")
+    damaged = F.coalesce("damaged", F.lit(False)).alias("damaged")
+    return out.select(F.col("id").alias("page_id"), "ord", "file", "start", "length", F.col("hash").alias("record_sha256"), damaged)

@@ -10,9 +10,10 @@ Sort.  Sampled splitters range-partition the suffixes by their leading bytes, th
 place.  The place is part of the key, so a passage that fills a third of all documents is cut into as many ranges as it needs.
 Each bucket is sorted by multikey quicksort, word by word.
 
-Comparison.  Neighbours with equal contexts are the same run of windows: all but the first are repeats.  The first of its context is compared window by
-window if other contexts share its anchor, or if its bucket ends inside its anchor's group (so nothing is missed at
-bucket boundaries): the hashes of these windows are range-partitioned and sorted the same way, and the first row of a bucket is compared with the
+Comparison.  Neighbours with equal contexts are the same run of windows: all but the first are repeats.  The windows of the first of its context are
+compared one by one if other contexts share its anchor.  A short digest of the bytes that a quarter of a run's windows have in common leaves out the
+quarters without a partner; if a bucket ends inside an anchor's group, all of its windows are compared (so nothing is missed at
+bucket boundaries).  For that the hashes of these windows are range-partitioned and sorted the same way, and the first row of a bucket is compared with the
 last rows of the buckets before it.
 
 Every step moves digests and places; the text is joined twice, by document.  Digest equality is on 8 raw bytes and 64 bits (windows) or
@@ -88,9 +89,15 @@ def _leads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (out ^ np.uint64(1 << 63)).view(np.int64)
 
 
+def quarters(length: int) -> list[tuple[int, int]]:
+    """Ranges [lo, hi] of the distance from a window's start to its anchor."""
+    cuts = np.linspace(0, length - K + 1, 5).astype(int).tolist()
+    return [(a, b - 1) for a, b in zip(cuts, cuts[1:])]
+
+
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """Runs of windows in documents [starts, ends) of a buffer: lead, key, ctx, at (anchor), low (first window), n (windows)."""
-    empty = {c: np.empty(0, np.int64) for c in ("lead", "key", "ctx", "at", "low", "n")}
+    empty = {c: np.empty(0, np.int64) for c in ("lead", "key", "ctx", "parts", "at", "low", "n")}
     if len(data) < length:
         return empty
     hashes = Hashes(data)
@@ -116,7 +123,12 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     n = np.diff(np.append(first, len(places)))
     shape = ((at - low) << 32 | n).astype(np.uint64)
     ctx = _mixed(hashes.of(low, low + n - 1 + length) + shape * np.uint64(_BASE))
-    return {"lead": _leads(data, at), "key": grams[at].view(np.int64), "ctx": ctx.view(np.int64), "at": at, "low": low, "n": n}
+    parts = np.zeros(len(at), np.uint64)
+    for lo, hi in quarters(length):
+        common = hashes.of(np.maximum(at - lo, 0), np.minimum(at + length - hi, len(data)))
+        parts = (parts << np.uint64(16)) | (common >> np.uint64(48))
+    cols = {"lead": _leads(data, at), "key": grams[at].view(np.int64), "ctx": ctx.view(np.int64), "parts": parts.view(np.int64)}
+    return cols | {"at": at, "low": low, "n": n}
 
 
 def multikey_order(words: list[np.ndarray]) -> np.ndarray:
@@ -200,7 +212,7 @@ def _suffixes(length: int, splitters: list[np.ndarray] | None):
                 part = np.searchsorted(starts, a["low"], "right") - 1
                 # of empty parts, which start where the next one does, the last is meant
                 shift = offsets[part] - starts[part]
-                cols = {"lead": a["lead"], "key": a["key"], "ctx": a["ctx"], "doc": doc[rows[part]], "twin": twin[rows[part]]}
+                cols = {"lead": a["lead"], "key": a["key"], "ctx": a["ctx"], "parts": a["parts"], "doc": doc[rows[part]], "twin": twin[rows[part]]}
                 cols |= {"pos": a["at"] + shift, "low": a["low"] + shift, "n": a["n"]}
                 yield _batch({"bucket": bucket_of([cols[c] for c in SUFFIX], splitters or [])} | cols)
 
@@ -238,10 +250,22 @@ def _compare_suffixes(length: int):
         number = np.cumsum(group) - 1
         contexts = np.bincount(number, first)[number]
         open_end = (number == 0) | (number == number[-1])
-        edge, cover = first & ((contexts > 1) | open_end), ~first
-        for kind, rows, more in ((0, cover, length - 1), (1, edge, 0)):
-            cols = {"kind": np.full(rows.sum(), kind, np.int32), "doc": c["doc"][rows], "twin": c["twin"][rows], "s": c["low"][rows]}
-            yield _batch(cols | {"e": cols["s"] + c["n"][rows] + more})
+
+
+        def spans(kind: int, rows: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+            return _batch({"kind": np.full(len(rows), kind, np.int32), "doc": c["doc"][rows], "twin": c["twin"][rows], "s": s, "e": e})
+
+        rows = np.flatnonzero(~first)
+        yield spans(0, rows, c["low"][rows], c["low"][rows] + c["n"][rows] - 1 + length)
+        edge = np.flatnonzero(first & ((contexts > 1) | open_end))
+        for j, (lo, hi) in enumerate(quarters(length)):
+            s = np.maximum(c["low"][edge], c["pos"][edge] - hi)
+            e = np.minimum(c["low"][edge] + c["n"][edge], c["pos"][edge] - lo + 1)
+            rows, s, e = edge[s < e], s[s < e], e[s < e]
+            digest = (c["parts"][rows].view(np.uint64) >> np.uint64(16 * (3 - j))) & np.uint64(0xFFFF)
+            _, same, many = np.unique(number[rows] << 16 | digest.astype(np.int64), return_inverse=True, return_counts=True)
+            met = open_end[rows] | (many[same] > 1) if len(rows) else np.zeros(0, bool)
+            yield spans(1, rows[met], s[met], e[met])
 
     return of
 
@@ -299,28 +323,35 @@ def _compare_windows(length: int):
 
 
 def _splitters(sample: DataFrame, words: list[str], buckets: int) -> list[np.ndarray]:
-    """At most buckets - 1 quantiles of a sample of at most OVERSAMPLE x buckets rows."""
-    got = sample.select(*words).limit(OVERSAMPLE * buckets).toPandas()
+    """At most buckets - 1 quantiles of a sample of about OVERSAMPLE x buckets rows, 4 times as many at most."""
+    got = sample.select(*words).limit(4 * OVERSAMPLE * buckets).toPandas()
     cols = [got[w].to_numpy(np.int64) for w in words]
     order = multikey_order(cols) if len(got) else np.empty(0, np.int64)
     at = order[(np.arange(1, buckets) * len(order) // buckets)] if len(order) >= buckets else order
     return [c[at] for c in cols]
 
 
-def _every(doc: str, share: float):
+def _shares(want: int, total: float) -> tuple[float, float]:
+    """Shares of documents and of their rows for a sample of ``want`` of ``total`` rows, spread over many documents."""
+    share = min(1.0, want / max(1.0, total))
+    docs = min(1.0, 32 * share)
+    return docs, share / docs
+
+
+def _every(share: float):
     """A condition that holds for about a share of all documents, by hash."""
-    return F.pmod(F.xxhash64(doc, "twin"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, share))
+    return F.pmod(F.xxhash64("doc", "twin"), F.lit(1_000_003)) < int(1_000_003 * share)
 
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(doc, twin, s, e): bytes of repeats, not merged.  rows: doc, twin, text, one per place in the order."""
     spark = rows.sparkSession
     n = shuffle_partitions(spark)
-    schema = "bucket int, lead long, key long, ctx long, doc long, twin long, pos long, low long, n long"
+    schema = "bucket int, lead long, key long, ctx long, parts long, doc long, twin long, pos long, low long, n long"
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    share = 2 * OVERSAMPLE * n / max(1, total * 2 / (length - K + 2))
-    sample = rows.where(_every("doc", share)).mapInArrow(_suffixes(length, None), schema)
-    cut = _splitters(sample.where(F.rand(1) < 0.5), SUFFIX, n)
+    docs, thin = _shares(OVERSAMPLE * n, total * 2 / (length - K + 2))
+    sample = rows.where(_every(docs)).mapInArrow(_suffixes(length, None), schema)
+    cut = _splitters(sample.where(F.rand(1) < thin), SUFFIX, n)
     suffixes = rows.mapInArrow(_suffixes(length, cut), schema).repartitionById(n, F.col("bucket"))
     spans = settle(suffixes.mapInArrow(_compare_suffixes(length), SPANS), "suffix-spans")
 
@@ -328,10 +359,10 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     windows = edges.agg(F.sum(F.col("e") - F.col("s"))).first()[0] or 0
     listed = edges.groupBy("doc", "twin").agg(F.sort_array(F.collect_list("s")).alias("s"), F.sort_array(F.collect_list("e")).alias("e"))
     schema = "bucket int, lead long, key long, doc long, twin long, pos long"
-    share = 2 * OVERSAMPLE * n / max(1, windows)
-    own = settle(listed.where(_every("doc", share)), "suffix-sample")
-    sample = rows.where(_every("doc", share)).join(own, ["doc", "twin"]).mapInArrow(_windows(length, None), schema)
-    cut = _splitters(sample.where(F.rand(1) < 0.5), WINDOW, n)
+    docs, thin = _shares(OVERSAMPLE * n, windows)
+    own = settle(listed.where(_every(docs)), "suffix-sample")
+    sample = rows.where(_every(docs)).join(own, ["doc", "twin"]).mapInArrow(_windows(length, None), schema)
+    cut = _splitters(sample.where(F.rand(1) < thin), WINDOW, n)
     hashed = rows.join(listed, ["doc", "twin"]).mapInArrow(_windows(length, cut), schema).repartitionById(n, F.col("bucket"))
     compared = settle(hashed.mapInArrow(_compare_windows(length), f"{SPANS}, bucket int, lead long, key long"), "window-spans")
 

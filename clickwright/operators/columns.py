@@ -65,6 +65,15 @@ def drop_useless_columns(df: DataFrame, extra: Sequence[str] = (), useless: Sequ
     return df.select(*[c for c in df.columns if c not in dropped]), dropped
 
 
+def concat_tagged(parts: Mapping[str, DataFrame], tag: str = "split") -> DataFrame:
+    """Rows of all tables, one after the other, with the table's name in ``tag``; columns that one lacks are null."""
+    out = None
+    for name, df in parts.items():
+        own = df.withColumn(tag, F.lit(name))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
 def select_best_columns(df: DataFrame, best: Sequence[str] = BEST_VARIABLE, category: Sequence[str] = COLS_WITH_CATEGORY_TYPE) -> DataFrame:
     """Curated list followed by the category columns: ordered, de-duplicated, present ones only."""
     wanted = list(dict.fromkeys(list(best) + list(category)))

@@ -63,9 +63,14 @@ class KeyedFeatures:
         return self
 
     def apply(self, df: DataFrame, source=None) -> DataFrame:
-        """Attach every key set's features; aggregates read ``source()`` (same rows as ``df``) if given."""
+        """Attach every key set's features; aggregates read ``source()`` (same rows as ``df``) if given.
+
+        They always read the rows as given, never those that earlier key sets were joined to, so n key
+        sets cost n aggregations and n joins.
+        """
+        base = df
         for keys, spec in self._specs.items():
-            src = source() if source else df
+            src = source() if source else base
             src = src if spec["null_safe"] else src.where(all_not_null(keys))
             feat = src.groupBy(*keys).agg(*[e.alias(n) for n, e in spec["aggs"].items()])
             # the projection below keeps only the row columns, so the renamed right keys vanish there
@@ -88,9 +93,10 @@ def expose_ratio(df: DataFrame, pairs: Sequence[Sequence[str]] = EXPOSE_PAIRS, d
     grains_of: dict[str, list[str]] = defaultdict(list)
     for ids, grain in pairs:
         grains_of[ids].append(grain)
+    base = df
     for ids, grains in grains_of.items():
         keys = [ids, *grains]
-        agg = (source() if source else df).where(F.col(ids).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        agg = (source() if source else base).where(F.col(ids).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
         cols = {}
         for g in grains:
             cols[f"{ids}_{g}_cnt"] = F.when(F.col(g).isNotNull(), F.sum("__n").over(Window.partitionBy(ids, g)))
@@ -198,7 +204,9 @@ def minute_bucket_clicks(df: DataFrame, buckets: Sequence[int] = MINUTE_BUCKETS,
     table partitioned by (user, day, hour, bucket) -- at most 60 rows each.
     """
     keys = ["user_id", "day", "hour", minute]
+    # clustering by the hour serves all buckets: each is inside one hour
     agg = (source() if source else df).where(all_not_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    agg = agg.repartition(*keys[:3])
     agg = agg.withColumns(
         {
             f"min{n}_user_click": F.sum("__n").over(Window.partitionBy("user_id", "day", "hour", F.floor(F.col(minute) / F.lit(n))))

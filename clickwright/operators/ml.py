@@ -10,8 +10,8 @@ from pyspark.ml.feature import (
     SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,21 +39,32 @@ def index_to_string(df: DataFrame, index_col: str, out: str, labels: Sequence[st
     return t.transform(df)
 
 
-def ml_pipeline(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """StringIndexer + OneHotEncoder per column in one ``Pipeline``; raw and index columns dropped."""
+def ml_pipeline(df: DataFrame, cols: Sequence[str], keep_index: bool = False) -> DataFrame:
+    """StringIndexer + OneHotEncoder per column in one ``Pipeline``; raw and (unless ``keep_index``) index columns dropped.
+
+    As with ``string_index``, a column's label list goes through the driver: for columns of few values."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}Idx", handleInvalid="keep") for c in cols]
     oh = [OneHotEncoder(inputCols=[f"{c}Idx"], outputCols=[f"{c}Idx_OneHot"]) for c in cols]
     out = Pipeline(stages=idx + oh).fit(df).transform(df)
-    return out.drop(*cols, *[f"{c}Idx" for c in cols])
+    return out.drop(*cols, *([] if keep_index else [f"{c}Idx" for c in cols]))
 
 
 def assemble_vector(df: DataFrame, cols: Sequence[str], out: str = "feature") -> DataFrame:
-    cast = df.withColumns({c: F.col(c).cast("double") for c in cols})
+    """One vector of numeric, boolean and vector columns."""
+    plain = [c for c in cols if not isinstance(df.schema[c].dataType, VectorUDT)]
+    cast = df.withColumns({c: F.col(c).cast("double") for c in plain})
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(cast)
 
 
+def hot_position(df: DataFrame, index_col: str, hot_col: str) -> Column:
+    """Where the 1 of a one-hot vector is, or -1 for the dropped category: from the index, without a dense vector."""
+    size = df.schema[hot_col].metadata["ml_attr"]["num_attrs"]
+    return F.when(F.col(index_col) < size, F.col(index_col)).otherwise(F.lit(-1)).cast("int")
+
+
 def sql_transform(df: DataFrame, statement: str) -> DataFrame:
-    return SQLTransformer(statement=statement).transform(df)
+    """A ``SQLTransformer`` stage in a ``Pipeline``; the statement may call registered functions."""
+    return Pipeline(stages=[SQLTransformer(statement=statement)]).fit(df).transform(df)
 
 
 def bucketize(df: DataFrame, col: str, splits: Sequence[float], out: str) -> DataFrame:

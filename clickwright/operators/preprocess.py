@@ -17,7 +17,7 @@ from clickwright.functions import (
     predicted_categories, predicted_properties, tokens_to_int,
 )
 from clickwright.operators.joins import attach
-from clickwright.plans.ordered import global_rank
+from clickwright.plans.ordered import global_rank, materialize
 from clickwright.schema import CATEGORY_FRAC, COL_NEED_ENCODE, PROPERTY_FRAC, PROPERTY_MAX_KEPT, PROPERTY_MIN_COUNT
 
 
@@ -39,10 +39,9 @@ def category_frequency_code(
     values and rows without a second token get 0.
     """
     second = nth_token(column, 1)
-    n_rows = df.count()
-    vc = df.select(second.alias("__v")).where(F.col("__v").isNotNull()).groupBy("__v").agg(
-        F.count(F.lit(1)).alias("__cnt")
-    )
+    counts = materialize(df.select(second.alias("__v")).groupBy("__v").agg(F.count(F.lit(1)).alias("__cnt")), "category-counts")
+    n_rows = counts.agg(F.sum("__cnt")).first()[0] or 0
+    vc = counts.where(F.col("__v").isNotNull())
     ranked = global_rank(vc, [F.col("__cnt").desc(), F.col("__v").asc()], "__r", sum_col="__cnt", running_sum="__cum")
     kept = ranked.where(F.col("__cum") < F.lit(n_rows * frac)).select("__v", "__cnt")
     coded = global_rank(kept, [F.col("__cnt").asc(), F.col("__v").asc()], "__code").select("__v", "__code")
@@ -59,11 +58,15 @@ def kept_property_tokens(
     At most ``max_kept`` tokens reach the driver."""
     toks = df.select(F.explode(tokens_to_int(column)).alias("__t"))
     vc = toks.groupBy("__t").agg(F.count(F.lit(1)).alias("__cnt"))
-    ranked = global_rank(vc, [F.col("__cnt").desc(), F.col("__t").asc()], "__r", sum_col="__cnt", running_sum="__cum")
-    total = ranked.agg(F.max("__cum")).first()[0] or 0
-    kept = ranked.where(F.col("__cum") < F.lit(total * frac))
-    head = kept.orderBy("__r").limit(max_kept + 1).select("__t").collect()
-    tokens = [r[0] for r in head]
+    vc = materialize(vc, "property-counts")
+    total = vc.agg(F.sum("__cnt")).first()[0] or 0
+    tokens, running = [], 0
+    # more than max_kept survivors are cut to min_count, so the first max_kept + 1 tokens decide
+    for r in vc.orderBy(F.col("__cnt").desc(), F.col("__t").asc()).limit(max_kept + 1).collect():
+        running += r["__cnt"]
+        if running >= total * frac:
+            break
+        tokens.append(r["__t"])
     if len(tokens) > max_kept:
         tokens = tokens[:min_count]
     return tokens
@@ -118,6 +121,7 @@ def label_encode(df: DataFrame, columns: Sequence[str] = COL_NEED_ENCODE) -> Dat
             part = df.select(F.lit(c).alias("__c"), F.col(c).alias("__v")).where(F.col("__v").isNotNull())
             stacked = part if stacked is None else stacked.unionByName(part)
         ranked = global_rank(stacked.distinct(), [F.col("__c").asc(), F.col("__v").asc()], "__r")
+        ranked = materialize(ranked, "label-codes", partition_by="__c")  # each column then reads its own codes only
         bounds = {r["__c"]: (r["lo"], r["n"]) for r in ranked.groupBy("__c").agg(F.min("__r").alias("lo"), F.count(F.lit(1)).alias("n")).collect()}
         for c in group:
             lo, n = bounds.get(c, (1, 0))

@@ -74,12 +74,21 @@ def ordered_key_features(
     need_prev, need_next = bool(last_gap or last_view), bool(next_gap)
     rows = sec.withColumn("__core", F.lit(True))
     if rolling:
+        # each second goes to its own bucket and, near an edge, as a halo row to the neighbour: one read of the table
         start = F.col("__b") * F.lit(width)
-        halo_prev = sec.where(F.col(ts) - start < F.lit(s_roll)).withColumn("__b", F.col("__b") - 1)
-        halo_next = sec.where(start + F.lit(width) - F.col(ts) <= F.lit(s_roll)).withColumn("__b", F.col("__b") + 1)
-        rows = rows.unionByName(halo_prev.withColumn("__core", F.lit(False))).unionByName(
-            halo_next.withColumn("__core", F.lit(False))
+
+        def place(bucket, core):
+            return F.struct(bucket.alias("b"), F.lit(core).alias("core"))
+
+        places = F.array_compact(
+            F.array(
+                place(F.col("__b"), True),
+                F.when(F.col(ts) - start < F.lit(s_roll), place(F.col("__b") - 1, False)),
+                F.when(start + F.lit(width) - F.col(ts) <= F.lit(s_roll), place(F.col("__b") + 1, False)),
+            )
         )
+        rows = sec.withColumn("__place", F.explode(places)).withColumns({"__b": F.col("__place.b"), "__core": F.col("__place.core")})
+        rows = rows.drop("__place")
     w = Window.partitionBy(*keys, "__b").orderBy(ts)
     core_ts = F.when(F.col("__core"), F.col(ts))
     cols = {}
@@ -142,15 +151,17 @@ def ordered_key_features(
 
 def last_time_gap(df: DataFrame, columns: Sequence[str] = ("user_id", "item_id")) -> DataFrame:
     """``{c}_lasttime_diff``: seconds since the previous click of the same ``c`` (ties: ``instance_id``)."""
+    base = df
     for c in columns:
-        df = ordered_key_features(df, [c], last_gap=f"{c}_lasttime_diff")
+        df = ordered_key_features(df, [c], last_gap=f"{c}_lasttime_diff", source=lambda: base)
     return df
 
 
 def next_time_gap(df: DataFrame, columns: Sequence[str] = ("user_id", "item_id")) -> DataFrame:
     """``{c}_nexttime_diff``: seconds until the next click of the same ``c``."""
+    base = df
     for c in columns:
-        df = ordered_key_features(df, [c], next_gap=f"{c}_nexttime_diff")
+        df = ordered_key_features(df, [c], next_gap=f"{c}_nexttime_diff", source=lambda: base)
     return df
 
 
@@ -160,15 +171,17 @@ def rolling_neighbor_counts(df: DataFrame, keys: Mapping[str, Sequence[str]] = R
     Note the naming: ``bf`` counts *later* clicks and ``af`` *earlier* ones.
     Same-second clicks and gaps of exactly ``seconds`` are excluded.
     """
+    base = df
     for prefix, ks in keys.items():
-        df = ordered_key_features(df, ks, rolling=(prefix, seconds))
+        df = ordered_key_features(df, ks, rolling=(prefix, seconds), source=lambda: base)
     return df
 
 
 def gap_to_last_view(df: DataFrame, grains: Sequence[str] = LAST_VIEW_GRAINS, user: str = "user_id") -> DataFrame:
     """``diffWithLastView_{g}``: seconds since the user's latest strictly earlier view of the same ``g``."""
+    base = df
     for g in grains:
-        df = ordered_key_features(df, [user, g], last_view=f"diffWithLastView_{g}")
+        df = ordered_key_features(df, [user, g], last_view=f"diffWithLastView_{g}", source=lambda: base)
     return df
 
 
@@ -240,6 +253,10 @@ def click_position_tab(df: DataFrame, subsets: Sequence[Sequence[str]] = CLICK_T
     return group_position_features(df, tab_subsets=subsets)
 
 
-def first_last_gap(df: DataFrame, groups: Mapping[str, Sequence[str]] = FIRST_LAST_GROUPS) -> DataFrame:
-    """``{p}_day_diffTime_first/last``: gap to the group's first/last row in (user_id, ts, id) order; -1 for singletons."""
-    return group_position_features(df, gap_groups=groups)
+def first_last_gap(
+    df: DataFrame, groups: Mapping[str, Sequence[str]] = FIRST_LAST_GROUPS, order: Sequence[str] = ("user_id", TS)
+) -> DataFrame:
+    """``{p}_day_diffTime_first/last``: gap to the group's first/last row in (``order``, id) order; -1 for singletons.
+
+    ``order=("context_timestamp",)`` takes the first and last in time instead of (user, time)."""
+    return group_position_features(df, gap_groups=groups, order=order)

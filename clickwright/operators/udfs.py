@@ -6,6 +6,7 @@ these are the general forms for logic that has no built-in.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def add_columns_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def trade_outcome_udf(is_trade: pd.Series) -> pd.Series:
     """0 -> "success", anything else -> "failure" (the registered SQL function)."""
-    return is_trade.map(lambda v: "success" if v == 0 else "failure")
+    return pd.Series(np.where(is_trade == 0, "success", "failure"))
 
 
 def register_sql_udfs(spark: SparkSession) -> None:
@@ -47,15 +48,12 @@ def row_map(df: DataFrame, col: str) -> DataFrame:
 
 
 def time_parts_batches(df: DataFrame, ts: str = "context_timestamp", id_col: str = "instance_id") -> DataFrame:
-    """Row-wise apply in its general form: ``mapInPandas`` over Arrow batches."""
+    """Row-wise apply in its general form: ``mapInPandas`` over Arrow batches.  A null time gives null parts."""
 
     def fn(batches):
         for pdf in batches:
-            t = pd.to_datetime(pdf[ts], unit="s", utc=True)
-            yield pd.DataFrame(
-                {id_col: pdf[id_col], "day": t.dt.day.astype("int32"), "hour": t.dt.hour.astype("int32"),
-                 "minute": t.dt.minute.astype("int32")}
-            )
+            t = pd.to_datetime(pdf[ts].astype("Int64"), unit="s", utc=True)
+            yield pd.DataFrame({id_col: pdf[id_col].astype("Int64"), **{p: getattr(t.dt, p).astype("Int32") for p in ("day", "hour", "minute")}})
 
     schema = f"{id_col} bigint, day int, hour int, minute int"
-    return df.select(id_col, ts).where(F.col(ts).isNotNull()).mapInPandas(fn, schema)
+    return df.select(id_col, ts).mapInPandas(fn, schema)

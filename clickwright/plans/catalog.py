@@ -41,5 +41,10 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _LOGS[key]
 
 
+def scan(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Some columns of the log, read once from the given tables: for queries of a single pass."""
+    return clicklog(spark, sf_dir, columns)
+
+
 # query modules register themselves on import
 from clickwright.plans import q_sequence, q_grouped, q_preprocess, q_basic, q_pipeline, q_model  # noqa: E402,F401

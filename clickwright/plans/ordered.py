@@ -32,12 +32,11 @@ def freeze(df: DataFrame) -> DataFrame:
 
 
 def _offset_expr(values: dict[int, int], key: Column) -> Column:
+    """The partition's offset, by index into an array literal."""
     if not values:
         return F.lit(0).cast("bigint")
-    pairs = []
-    for k in sorted(values):
-        pairs += [F.lit(int(k)), F.lit(int(values[k])).cast("bigint")]
-    return F.coalesce(F.element_at(F.create_map(*pairs), key), F.lit(0).cast("bigint"))
+    offsets = [int(values.get(k, 0)) for k in range(max(values) + 1)]
+    return F.coalesce(F.get(F.lit(offsets).cast("array<bigint>"), key), F.lit(0).cast("bigint"))
 
 
 def with_position(
@@ -87,7 +86,7 @@ def global_rank(
     return out.withColumn(rank, F.col("_pos0") + F.lit(1)).drop("_pos0")
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Unlike an RDD checkpoint, later readers get column pruning and filter
@@ -96,8 +95,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     from clickwright.session import scratch_path
 
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    out = df.sparkSession.read.parquet(path)
+    df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
     out._clickwright_path = path
     return out
 

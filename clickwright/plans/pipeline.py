@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from clickwright.operators import grouped as gr
 from clickwright.operators import preprocess as pp
 from clickwright.operators import sequence as seq
+from clickwright.operators.columns import drop_useless_columns
 from clickwright.plans.ordered import fresh_source, materialize
 from clickwright.schema import (
     ACTIVE_PER_GRAIN, AGGREGATE_LEVEL, CLICK_TAB_SUBSETS, EXPOSE_PAIRS, FIRST_LAST_GROUPS, LAST_VIEW_GRAINS,
@@ -111,8 +112,24 @@ def clean_experiment(df: DataFrame, label: str = "is_trade", threshold: float =
     return sp.split_two_level_by_day(imputed)
 
 
+def prepare_dataset(df: DataFrame, folder: str) -> tuple[DataFrame, ColumnRoles]:
+    """Prepare -> save -> reload: the table that models are trained on, and its column roles."""
+    from clickwright.sources.files import load_dataset, save_dataset
+
+    prepared, roles = load_and_prepare(df)
+    save_dataset(prepared, folder, roles)
+    return load_dataset(df.sparkSession, folder)
+
+
+def training_features(data: DataFrame, roles: ColumnRoles) -> tuple[list[str], list[str]]:
+    """(features, the categorical ones among them): all kept columns but the label."""
+    kept, _ = drop_useless_columns(data)
+    features = [c for c in kept.columns if c != roles.label]
+    return features, [c for c in features if c in set(roles.category)]
+
+
 def train_evaluate(df: DataFrame, features: list[str], label: str = "is_trade", model=None, **gbt) -> dict:
-    """Last-day split -> GBT fit -> test-day log-loss and AUC."""
+    """Last-day split -> GBT fit -> per-round losses on both sets, test-day log-loss and AUC."""
     from clickwright.operators import metrics as me
     from clickwright.operators import model as mo
     from clickwright.operators import split as sp
@@ -120,10 +137,12 @@ def train_evaluate(df: DataFrame, features: list[str], label: str = "is_trade",
     split = sp.split_last_period(df, "day")
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
-    model = model or mo.gbt_fit(train, features, label, **gbt)
-    scored = mo.predict_proba(model, test, features)
+    model = model or mo.gbt_fit(train, features, label, validation=test, **gbt)
+    scored = mo.predict_proba(model, test)
     return {
         "log_loss": me.log_loss(scored, label, "p").first()[0],
         "auc": me.roc_auc(scored, label, "p").first()[0],
-        "trees": model.getNumTrees,
+        "trees": model.trees,
+        "train_loss": model.train_loss,
+        "test_loss": model.validation_loss,
     }

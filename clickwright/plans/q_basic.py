@@ -11,7 +11,7 @@ from clickwright.operators import aggregate as ag
 from clickwright.operators import clean as cl
 from clickwright.operators import columns as co
 from clickwright.operators import joins as jn
-from clickwright.plans.catalog import log, register, with_clicklog
+from clickwright.plans.catalog import log, register, scan, with_clicklog
 from clickwright.session import scratch_path
 from clickwright.sources import files as fs
 from clickwright.sources.clicklog import CLICKLOG_COLUMNS
@@ -80,7 +80,7 @@ def q_load_dataset(spark, sf_dir):
 
 @register("row_count", with_clicklog("SELECT count(*) AS row_count FROM clicklog"))
 def q_row_count(spark, sf_dir):
-    return fs.row_count(log(spark, sf_dir))
+    return fs.row_count(scan(spark, sf_dir, "instance_id"))
 
 
 # ---------------------------------------------------------------- 2.2 columns
@@ -88,7 +88,7 @@ def q_row_count(spark, sf_dir):
 
 @register("select_columns", with_clicklog("SELECT instance_id, user_id, item_id, context_timestamp FROM clicklog"))
 def q_select(spark, sf_dir):
-    return co.select_columns(log(spark, sf_dir), ["instance_id", "user_id", "item_id", "context_timestamp"])
+    return co.select_columns(scan(spark, sf_dir, "instance_id", "user_id", "item_id", "context_timestamp"), ["instance_id", "user_id", "item_id", "context_timestamp"])
 
 
 @register(
@@ -99,7 +99,7 @@ def q_select(spark, sf_dir):
 )
 def q_derive(spark, sf_dir):
     df = co.derive_column(
-        log(spark, sf_dir), {"quarter": fx.floor_div("minute", 15), "day_hour": (F.col("day") * 24 + F.col("hour")).cast("int")}
+        scan(spark, sf_dir, "instance_id", "day", "hour", "minute"), {"quarter": fx.floor_div("minute", 15), "day_hour": (F.col("day") * 24 + F.col("hour")).cast("int")}
     )
     return df.select("instance_id", "quarter", "day_hour")
 
@@ -115,7 +115,7 @@ def q_drop(spark, sf_dir):
 
 @register("rename_columns", with_clicklog("SELECT instance_id, user_id AS uid, item_id AS iid FROM clicklog"))
 def q_rename(spark, sf_dir):
-    return co.rename_columns(log(spark, sf_dir).select("instance_id", "user_id", "item_id"), {"user_id": "uid", "item_id": "iid"})
+    return co.rename_columns(scan(spark, sf_dir, "instance_id", "user_id", "item_id").select("instance_id", "user_id", "item_id"), {"user_id": "uid", "item_id": "iid"})
 
 
 @register("cast_column", with_clicklog("SELECT instance_id, CAST(shop_star_level AS DOUBLE) AS shop_star_level_double FROM clicklog"))
@@ -289,7 +289,7 @@ def q_lookup(spark, sf_dir):
 
 @register("group_size", with_clicklog("SELECT user_id, day, count(*) AS size FROM clicklog GROUP BY user_id, day"))
 def q_group_size(spark, sf_dir):
-    return ag.group_size(log(spark, sf_dir), ["user_id", "day"])
+    return ag.group_size(scan(spark, sf_dir, "user_id", "day"), ["user_id", "day"])
 
 
 @register("group_mean", with_clicklog("SELECT item_id, avg(hour) AS hour_mean, avg(user_age_level) AS user_age_level_mean FROM clicklog GROUP BY item_id"))
@@ -302,7 +302,7 @@ def q_group_mean(spark, sf_dir):
     with_clicklog("SELECT day, avg(context_timestamp) AS mean_context_timestamp, max(context_timestamp) AS max_context_timestamp FROM clicklog GROUP BY day"),
 )
 def q_group_agg_dict(spark, sf_dir):
-    return ag.group_agg(log(spark, sf_dir), ["day"], [("context_timestamp", "mean"), ("context_timestamp", "max")])
+    return ag.group_agg(scan(spark, sf_dir, "day", "context_timestamp"), ["day"], [("context_timestamp", "mean"), ("context_timestamp", "max")])
 
 
 @register(
@@ -310,7 +310,7 @@ def q_group_agg_dict(spark, sf_dir):
     with_clicklog("SELECT day, hour, avg(context_timestamp) AS mean_context_timestamp, count(context_timestamp) AS count_context_timestamp FROM clicklog GROUP BY day, hour"),
 )
 def q_group_multi(spark, sf_dir):
-    return ag.group_agg(log(spark, sf_dir), ["day", "hour"], [("context_timestamp", "mean"), ("context_timestamp", "count")])
+    return ag.group_agg(scan(spark, sf_dir, "day", "hour", "context_timestamp"), ["day", "hour"], [("context_timestamp", "mean"), ("context_timestamp", "count")])
 
 
 @register(
@@ -318,12 +318,12 @@ def q_group_multi(spark, sf_dir):
     with_clicklog("SELECT user_id, day, count(DISTINCT item_city_id) + max(CASE WHEN item_city_id IS NULL THEN 1 ELSE 0 END) AS item_city_id_distinct FROM clicklog GROUP BY user_id, day"),
 )
 def q_distinct_null(spark, sf_dir):
-    return ag.group_distinct_with_null(log(spark, sf_dir), ["user_id", "day"], "item_city_id")
+    return ag.group_distinct_with_null(scan(spark, sf_dir, "user_id", "day", "item_city_id"), ["user_id", "day"], "item_city_id")
 
 
 @register("group_nunique", with_clicklog("SELECT shop_id, day, count(DISTINCT item_id) AS item_id_nunique FROM clicklog GROUP BY shop_id, day"))
 def q_nunique(spark, sf_dir):
-    return ag.group_nunique(log(spark, sf_dir), ["shop_id", "day"], "item_id")
+    return ag.group_nunique(scan(spark, sf_dir, "shop_id", "day", "item_id"), ["shop_id", "day"], "item_id")
 
 
 @register(
@@ -343,7 +343,7 @@ def q_sum_transform(spark, sf_dir):
     ),
 )
 def q_collect_list(spark, sf_dir):
-    g = ag.group_collect_list(log(spark, sf_dir), ["day"], "hour")
+    g = ag.group_collect_list(scan(spark, sf_dir, "day", "hour"), ["day"], "hour")
     return g.select("day", F.array_join(F.transform("hour_list", lambda x: F.concat_ws(":", x["value"], x["count"])), ",").alias("hour_list"))
 
 
@@ -352,13 +352,13 @@ def q_collect_list(spark, sf_dir):
     with_clicklog("SELECT day, array_to_string(list_sort(list(DISTINCT hour)), ',') AS hour_set FROM clicklog GROUP BY day"),
 )
 def q_collect_set(spark, sf_dir):
-    g = ag.group_collect_set(log(spark, sf_dir), ["day"], "hour")
+    g = ag.group_collect_set(scan(spark, sf_dir, "day", "hour"), ["day"], "hour")
     return g.select("day", F.array_join("hour_set", ",").alias("hour_set"))
 
 
 @register("value_counts", with_clicklog("SELECT item_sales_level, count(*) AS count FROM clicklog WHERE item_sales_level IS NOT NULL GROUP BY 1"))
 def q_value_counts(spark, sf_dir):
-    return ag.value_counts(log(spark, sf_dir), "item_sales_level")
+    return ag.value_counts(scan(spark, sf_dir, "item_sales_level"), "item_sales_level")
 
 
 @register(
@@ -375,12 +375,12 @@ def q_top_value(spark, sf_dir):
 
 @register("global_max", with_clicklog("SELECT max(day) AS max_day FROM clicklog"))
 def q_global_max(spark, sf_dir):
-    return ag.global_max(log(spark, sf_dir), "day")
+    return ag.global_max(scan(spark, sf_dir, "day"), "day")
 
 
 @register("distinct_rows", with_clicklog("SELECT DISTINCT user_id, day FROM clicklog"))
 def q_distinct(spark, sf_dir):
-    return ag.distinct_rows(log(spark, sf_dir), ["user_id", "day"])
+    return ag.distinct_rows(scan(spark, sf_dir, "user_id", "day"), ["user_id", "day"])
 
 
 def _dedup_sql(direction):
@@ -419,17 +419,17 @@ def q_dup_mask(spark, sf_dir):
 
 @register("sort_by_user_time", with_clicklog("SELECT instance_id, user_id, context_timestamp FROM clicklog ORDER BY user_id, context_timestamp, instance_id"))
 def q_sort_user_time(spark, sf_dir):
-    return log(spark, sf_dir).select("instance_id", "user_id", "context_timestamp").orderBy("user_id", "context_timestamp", "instance_id")
+    return scan(spark, sf_dir, "instance_id", "user_id", "context_timestamp").select("instance_id", "user_id", "context_timestamp").orderBy("user_id", "context_timestamp", "instance_id")
 
 
 @register("sort_by_time", with_clicklog("SELECT instance_id, context_timestamp FROM clicklog ORDER BY context_timestamp DESC, instance_id"))
 def q_sort_time(spark, sf_dir):
-    return log(spark, sf_dir).select("instance_id", "context_timestamp").orderBy(F.col("context_timestamp").desc(), "instance_id")
+    return scan(spark, sf_dir, "instance_id", "context_timestamp").select("instance_id", "context_timestamp").orderBy(F.col("context_timestamp").desc(), "instance_id")
 
 
 @register("limit_rows", with_clicklog("SELECT instance_id, context_timestamp FROM clicklog ORDER BY instance_id LIMIT 100"))
 def q_limit(spark, sf_dir):
-    return log(spark, sf_dir).select("instance_id", "context_timestamp").orderBy("instance_id").limit(100)
+    return scan(spark, sf_dir, "instance_id", "context_timestamp").select("instance_id", "context_timestamp").orderBy("instance_id").limit(100)
 
 
 @register(
@@ -440,7 +440,7 @@ def q_limit(spark, sf_dir):
     ),
 )
 def q_top_k(spark, sf_dir):
-    pairs = log(spark, sf_dir).groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = scan(spark, sf_dir, "user_id", "item_id").groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("user_id").orderBy(F.col("n").desc(), F.col("item_id").asc())
     # rank-limit filter: Spark plans a WindowGroupLimit that keeps <= k rows per key before the shuffle
     return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 3).drop("rn")
@@ -454,10 +454,8 @@ def q_top_k(spark, sf_dir):
     with_clicklog("SELECT instance_id, day, CASE WHEN day < 24 THEN 'train' ELSE 'test' END AS split FROM clicklog"),
 )
 def q_concat_train_test(spark, sf_dir):
-    df = log(spark, sf_dir).select("instance_id", "day")
-    train = df.where(F.col("day") < 24).withColumn("split", F.lit("train"))
-    test = df.where(F.col("day") >= 24).withColumn("split", F.lit("test"))
-    return train.unionByName(test, allowMissingColumns=True)
+    df = scan(spark, sf_dir, "instance_id", "day").select("instance_id", "day")
+    return co.concat_tagged({"train": df.where("day < 24"), "test": df.where("coalesce(day >= 24, true)")})
 
 
 def _int_list_sql(expr):

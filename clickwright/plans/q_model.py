@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +15,12 @@ from clickwright.operators import ml
 from clickwright.operators import model as mo
 from clickwright.operators import split as sp
 from clickwright.operators import udfs
+from clickwright.operators.columns import intersect_feature_list
 from clickwright.plans.catalog import log, register, with_clicklog
+from clickwright.plans.pipeline import prepare_dataset, training_features
 from clickwright.plans.q_basic import ALL, PV_SQL, with_purchase_value
+from clickwright.schema import BEST_VARIABLE
+from clickwright.session import scratch_path
 
 # ---------------------------------------------------------------- 2.11 ML feature transforms
 
@@ -49,8 +52,7 @@ def q_string_index(spark, sf_dir):
 def q_one_hot(spark, sf_dir):
     idx, _ = ml.string_index(log(spark, sf_dir), "item_brand_id")
     oh = ml.one_hot(idx, ["item_brand_idIdx"])
-    arr = vector_to_array("item_brand_idIdx_OneHot")
-    return oh.select("instance_id", (F.coalesce(F.array_position(arr, 1.0), F.lit(0)) - 1).cast("int").alias("hot_index"))
+    return oh.select("instance_id", ml.hot_position(oh, "item_brand_idIdx", "item_brand_idIdx_OneHot").alias("hot_index"))
 
 
 @register("index_to_string", with_clicklog("SELECT instance_id, CAST(item_brand_id AS VARCHAR) AS brand_original FROM clicklog"))
@@ -78,14 +80,11 @@ def _hot_sql(name: str, col: str, alias: str) -> str:
     ),
 )
 def q_ml_pipeline(spark, sf_dir):
-    out = ml.ml_pipeline(log(spark, sf_dir).select("instance_id", "item_brand_id", "shop_id"), ["item_brand_id", "shop_id"])
-
-    def hot(c):
-        arr = vector_to_array(c)
-        return (F.coalesce(F.array_position(arr, 1.0), F.lit(0)) - 1).cast("int")
-
+    cols = ["item_brand_id", "shop_id"]
+    out = ml.ml_pipeline(log(spark, sf_dir).select("instance_id", *cols), cols, keep_index=True)
+    hot = [ml.hot_position(out, f"{c}Idx", f"{c}Idx_OneHot").alias(n) for c, n in zip(cols, ("brand_hot", "shop_hot"))]
     # position of the 1 in each one-hot vector (-1 for the dropped last category)
-    return out.select("instance_id", hot("item_brand_idIdx_OneHot").alias("brand_hot"), hot("shop_idIdx_OneHot").alias("shop_hot"))
+    return out.select("instance_id", *hot)
 
 
 @register(
@@ -102,10 +101,8 @@ def q_assemble(spark, sf_dir):
     with_clicklog("SELECT instance_id, CASE WHEN is_trade = 0 THEN 'success' ELSE 'failure' END AS outcome FROM clicklog"),
 )
 def q_sql_transform(spark, sf_dir):
-    return ml.sql_transform(
-        log(spark, sf_dir),
-        "SELECT instance_id, CASE WHEN is_trade = 0 THEN 'success' ELSE 'failure' END AS outcome FROM __THIS__",
-    )
+    udfs.register_sql_udfs(spark)
+    return ml.sql_transform(log(spark, sf_dir), "SELECT instance_id, userfunction(is_trade) AS outcome FROM __THIS__")
 
 
 @register(
@@ -190,7 +187,9 @@ def q_sql_udf(spark, sf_dir):
     udfs.register_sql_udfs(spark)
     view = f"clicklog_{uuid.uuid4().hex[:8]}"
     log(spark, sf_dir).createOrReplaceTempView(view)
-    return spark.sql(f"SELECT instance_id, userfunction(is_trade) AS outcome FROM {view}")
+    out = spark.sql(f"SELECT instance_id, userfunction(is_trade) AS outcome FROM {view}")
+    spark.catalog.dropTempView(view)
+    return out
 
 
 @register("row_map", with_clicklog("SELECT context_timestamp AS key, 1 AS one FROM clicklog"))
@@ -247,9 +246,9 @@ def q_group_map(spark, sf_dir):
 # ---------------------------------------------------------------- 2.13 sampling and splits
 
 
-@register("sample_rows")
+@register("sample_rows", with_clicklog(f"SELECT {ALL} FROM clicklog WHERE {knuth_bucket_sql('instance_id', 1000)} < 100"))
 def q_sample(spark, sf_dir):
-    return sp.sample_rows(log(spark, sf_dir), 0.1, seed=42)
+    return sp.sample_rows_by_id(log(spark, sf_dir), 100)
 
 
 @register(
@@ -300,67 +299,96 @@ def q_downsample(spark, sf_dir):
 
 # ---------------------------------------------------------------- 2.14 training, scoring, metrics
 
-MODEL_FEATURES = [
-    "hour", "minute", "item_brand_id", "item_city_id", "item_price_level", "item_sales_level", "item_collected_level",
-    "user_age_level", "shop_star_level", "shop_score_service",
-]
-SUBSET_FEATURES = ["item_brand_id", "item_sales_level", "item_collected_level", "user_age_level"]
+_PREPARED: dict[tuple, tuple] = {}
+_MODELS: dict[tuple, mo.FittedGBT] = {}
 
 
-def _days(spark, sf_dir):
-    return log(spark, sf_dir)
+def prepared(spark, sf_dir):
+    """The prepared table, its features and its category codes: made and saved once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _PREPARED:
+        data, roles = prepare_dataset(log(spark, sf_dir), scratch_path(spark, "prepared"))
+        features, categorical = training_features(data, roles)
+        _PREPARED[key] = data, features, mo.category_codes(data, categorical)
+    return _PREPARED[key]
 
 
-_MODELS: dict[tuple, object] = {}
-
-
-def _fit_cached(spark, sf_dir, name, train_filter, features, rounds, val_filter=None):
-    """Fit once per session, data folder and configuration; queries that score the same
-    model (fit / evaluate, refit / predict) share it."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+def _fit_cached(spark, sf_dir, name, fit):
+    """Fit once per session and data folder; queries that score the same model share it."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _MODELS:
-        df = _days(spark, sf_dir)
-        val = df.where(val_filter) if val_filter else None
-        _MODELS[key] = mo.gbt_fit(df.where(train_filter), features, rounds=rounds, validation=val)
+        _MODELS[key] = fit(*prepared(spark, sf_dir))
     return _MODELS[key]
 
 
-@register("gbt_fit")
+def last_day(data):
+    return data.agg(F.max("day")).first()[0]
+
+
+def wrapper_model(data, features, codes):
+    """All days but the last, evaluated on both sets in every round."""
+    last = F.col("day") == last_day(data)
+    rounds = mo.REFERENCE_GBT["wrapper_rounds"]
+    return mo.gbt_fit(data.where(F.coalesce(~last, F.lit(True))), features, rounds=rounds, validation=data.where(last), categories=codes)
+
+
+def refit_model(data, features, codes):
+    return mo.gbt_fit(data.where("day < 24"), features, rounds=mo.REFERENCE_GBT["refit_rounds"], categories=codes)
+
+
+def early_model(data, features, codes):
+    return mo.gbt_fit_early_stop(data.where("day < 23"), data.where("day = 23"), features, categories=codes)
+
+
+def subset_model(data, features, codes):
+    """The curated features that the table has (``user_star_level`` has no source here)."""
+    return early_model(data, intersect_feature_list(data.select(*features), BEST_VARIABLE, exclude=("day", "is_trade")), codes)
+
+
+def p_valid():
+    return F.col("p").between(0.0, 1.0).alias("p_valid")
+
+
+def _scored_sql(where: str, more: str = "") -> str:
+    return with_clicklog(f"SELECT instance_id, is_trade, true AS p_valid{more} FROM clicklog WHERE {where}")
+
+
+@register("gbt_fit", _scored_sql("day = (SELECT max(day) FROM clicklog)", ", CAST(252 AS INTEGER) AS trees"))
 def q_gbt_fit(spark, sf_dir):
-    df = _days(spark, sf_dir)
-    last = df.agg(F.max("day")).first()[0]
-    model = _fit_cached(spark, sf_dir, "wrapper", F.col("day") != last, MODEL_FEATURES, mo.REFERENCE_GBT["wrapper_rounds"])
-    return mo.predict_proba(model, df.where(F.col("day") == last), MODEL_FEATURES).select("instance_id", "is_trade", "p")
+    data = prepared(spark, sf_dir)[0]
+    model = _fit_cached(spark, sf_dir, "wrapper", wrapper_model)
+    scored = mo.predict_proba(model, data.where(F.col("day") == last_day(data)))
+    return scored.select("instance_id", "is_trade", p_valid(), F.lit(model.trees).alias("trees"))
 
 
-@register("gbt_fit_early_stop")
+@register("gbt_fit_early_stop", _scored_sql("day = 24", ", true AS best_is_lowest"))
 def q_gbt_early(spark, sf_dir):
-    df = _days(spark, sf_dir)
-    model = mo.gbt_fit(df.where("day < 23"), MODEL_FEATURES, rounds=mo.REFERENCE_GBT["n_estimators"], validation=df.where("day = 23"))
-    return mo.predict_proba(model, df.where("day = 24"), MODEL_FEATURES).select(
-        "instance_id", "is_trade", "p", F.lit(int(model.getNumTrees)).alias("best_iteration")
-    )
+    data = prepared(spark, sf_dir)[0]
+    model = _fit_cached(spark, sf_dir, "early", early_model)
+    lowest = model.trees - 1 == min(range(len(model.validation_loss)), key=model.validation_loss.__getitem__)
+    return mo.predict_proba(model, data.where("day = 24")).select("instance_id", "is_trade", p_valid(), F.lit(lowest).alias("best_is_lowest"))
 
 
-@register("gbt_refit")
+@register("gbt_refit", _scored_sql("day = 24", ", CAST(219 AS INTEGER) AS trees"))
 def q_gbt_refit(spark, sf_dir):
-    df = _days(spark, sf_dir)
-    model = _fit_cached(spark, sf_dir, "refit", "day < 24", MODEL_FEATURES, mo.REFERENCE_GBT["refit_rounds"])
-    return mo.predict_proba(model, df.where("day = 24"), MODEL_FEATURES).select("instance_id", "is_trade", "p")
+    data = prepared(spark, sf_dir)[0]
+    model = _fit_cached(spark, sf_dir, "refit", refit_model)
+    return mo.predict_proba(model, data.where("day = 24")).select("instance_id", "is_trade", p_valid(), F.lit(model.trees).alias("trees"))
 
 
-@register("predict_proba")
+@register("predict_proba", _scored_sql("day = 24"))
 def q_predict(spark, sf_dir):
-    df = _days(spark, sf_dir)
-    model = _fit_cached(spark, sf_dir, "refit", "day < 24", MODEL_FEATURES, mo.REFERENCE_GBT["refit_rounds"])
-    return mo.predict_proba(model, df.where("day = 24"), MODEL_FEATURES).select("instance_id", "p")
+    data = prepared(spark, sf_dir)[0]
+    model = _fit_cached(spark, sf_dir, "refit", refit_model)
+    return mo.predict_proba(model, data.where("day = 24")).select("instance_id", "is_trade", p_valid())
 
 
-@register("fit_feature_subset")
+@register("fit_feature_subset", _scored_sql("day = 24", ", CAST(15 AS INTEGER) AS n_features"))
 def q_subset(spark, sf_dir):
-    df = _days(spark, sf_dir)
-    model = mo.gbt_fit(df.where("day < 23"), SUBSET_FEATURES, rounds=mo.REFERENCE_GBT["n_estimators"], validation=df.where("day = 23"))
-    return mo.predict_proba(model, df.where("day = 24"), SUBSET_FEATURES).select("instance_id", "is_trade", "p")
+    data = prepared(spark, sf_dir)[0]
+    model = _fit_cached(spark, sf_dir, "subset", subset_model)
+    scored = mo.predict_proba(model, data.where("day = 24"))
+    return scored.select("instance_id", "is_trade", p_valid(), F.lit(len(model.features)).alias("n_features"))
 
 
 def with_fixed_score(df):
@@ -492,12 +520,19 @@ def q_clean_experiment(spark, sf_dir):
     return out.withColumn("shop_score_service", F.bround("shop_score_service", 6))
 
 
-@register("train_evaluate")
+@register(
+    "train_evaluate",
+    with_clicklog(
+        "SELECT count(*) AS n_test, CAST(252 AS INTEGER) AS trees, CAST(252 AS INTEGER) AS rounds_evaluated, true AS metrics_valid "
+        "FROM clicklog WHERE day = (SELECT max(day) FROM clicklog)"
+    ),
+)
 def q_train_evaluate(spark, sf_dir):
     from clickwright.plans.pipeline import train_evaluate
 
-    df = log(spark, sf_dir)
-    last = df.agg(F.max("day")).first()[0]
-    model = _fit_cached(spark, sf_dir, "wrapper", F.col("day") != last, MODEL_FEATURES, mo.REFERENCE_GBT["wrapper_rounds"])
-    res = train_evaluate(df, MODEL_FEATURES, model=model)
-    return spark.createDataFrame([(float(res["log_loss"]), float(res["auc"]), int(res["trees"]))], "log_loss double, auc double, trees int")
+    data, features, _ = prepared(spark, sf_dir)
+    res = train_evaluate(data, features, model=_fit_cached(spark, sf_dir, "wrapper", wrapper_model))
+    valid = res["log_loss"] > 0 and (res["auc"] is None or 0 <= res["auc"] <= 1) and min(res["train_loss"] + res["test_loss"]) > 0
+    evaluated = len(res["train_loss"]) if len(res["train_loss"]) == len(res["test_loss"]) else -1
+    n_test = data.where(F.col("day") == last_day(data)).count()
+    return spark.createDataFrame([(n_test, res["trees"], evaluated, valid)], "n_test long, trees int, rounds_evaluated int, metrics_valid boolean")

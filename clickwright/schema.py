@@ -84,21 +84,35 @@ RELATIVE_RATIO_DIGITS = 5
 
 # Typed schema of the raw space-delimited impression log (27 columns).
 LOG_SCHEMA = T.StructType(
-    [T.StructField("instance_id", T.LongType())]
-    + [T.StructField(c, T.LongType()) for c in ["item_id"]]
-    + [T.StructField("item_category_list", T.StringType()), T.StructField("item_property_list", T.StringType())]
-    + [T.StructField(c, T.LongType()) for c in ["item_brand_id", "item_city_id"]]
-    + [T.StructField(c, T.IntegerType()) for c in ["item_price_level", "item_sales_level", "item_collected_level", "item_pv_level"]]
-    + [T.StructField("user_id", T.LongType())]
-    + [T.StructField(c, T.IntegerType()) for c in ["user_gender_id", "user_age_level"]]
-    + [T.StructField("user_occupation_id", T.LongType()), T.StructField("user_star_level", T.IntegerType())]
-    + [T.StructField("context_id", T.LongType()), T.StructField("context_timestamp", T.LongType())]
-    + [T.StructField("context_page_id", T.LongType()), T.StructField("predict_category_property", T.StringType())]
-    + [T.StructField("shop_id", T.LongType())]
-    + [T.StructField(c, T.IntegerType()) for c in ["shop_review_num_level"]]
-    + [T.StructField("shop_review_positive_rate", T.DoubleType()), T.StructField("shop_star_level", T.IntegerType())]
-    + [T.StructField(c, T.DoubleType()) for c in ["shop_score_service", "shop_score_delivery", "shop_score_description"]]
-    + [T.StructField("is_trade", T.IntegerType())]
+    [
+        T.StructField("instance_id", T.LongType()),
+        T.StructField("item_id", T.LongType()),
+        T.StructField("item_category_list", T.StringType()),
+        T.StructField("item_property_list", T.StringType()),
+        T.StructField("item_brand_id", T.LongType()),
+        T.StructField("item_city_id", T.LongType()),
+        T.StructField("item_price_level", T.IntegerType()),
+        T.StructField("item_sales_level", T.IntegerType()),
+        T.StructField("item_collected_level", T.IntegerType()),
+        T.StructField("item_pv_level", T.IntegerType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("user_gender_id", T.IntegerType()),
+        T.StructField("user_age_level", T.IntegerType()),
+        T.StructField("user_occupation_id", T.LongType()),
+        T.StructField("user_star_level", T.IntegerType()),
+        T.StructField("context_id", T.LongType()),
+        T.StructField("context_timestamp", T.LongType()),
+        T.StructField("context_page_id", T.LongType()),
+        T.StructField("predict_category_property", T.StringType()),
+        T.StructField("shop_id", T.LongType()),
+        T.StructField("shop_review_num_level", T.IntegerType()),
+        T.StructField("shop_review_positive_rate", T.DoubleType()),
+        T.StructField("shop_star_level", T.IntegerType()),
+        T.StructField("shop_score_service", T.DoubleType()),
+        T.StructField("shop_score_delivery", T.DoubleType()),
+        T.StructField("shop_score_description", T.DoubleType()),
+        T.StructField("is_trade", T.IntegerType()),
+    ]
 )
 
 

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def is_local(master: str) -> bool:
+    """One process, so that a temporary folder is shared by all tasks."""
+    return master.split("[")[0] == "local"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     The folder comes from the session (``spark.checkpoint.dir`` or an earlier
-    ``setCheckpointDir``).  Only when nothing is configured -- local tests --
-    a private temporary folder is created and registered.
+    ``setCheckpointDir``).  Only with a local master, as in tests, a private temporary
+    folder is created and registered when nothing is configured, and removed at exit.
+    Elsewhere a folder of one machine would lose data, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -24,7 +32,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="clickwright-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -7,6 +7,8 @@ AQE turns a join into a broadcast only after measuring the dimension's size.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def clicklog(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: columns that need a dimension table
+NEEDS = {
+    "part": {
+        "item_brand_id", "item_price_level", "item_sales_level", "item_collected_level", "item_category_list", "item_property_list",
+        "predict_category_property",
+    },
+    "customer": {"user_age_level"},
+    "supplier": {"shop_star_level"},
+}
+
+
+def clicklog(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The log, or some of its columns; a dimension none of them needs is not read."""
+    wanted = set(columns or CLICKLOG_COLUMNS)
+    needed = {table for table, cols in NEEDS.items() if cols & wanted}
     events = read_table(spark, sf_dir, "events")
     ts_type = events.schema["ts"].dataType
     part = read_table(spark, sf_dir, "part").select(
@@ -53,12 +69,15 @@ def clicklog(spark: SparkSession, sf_dir: str) -> DataFrame:
             "item_city_id": F.nullif(F.col("item_id") % F.lit(7), F.lit(0)),
         }
     )
-    joined = (
-        ev.join(part, ev.item_id == part.p_partkey, "left")
-        .join(customer, ev.user_id == customer.c_custkey, "left")
-        .join(supplier, ev.shop_id == supplier.s_suppkey, "left")
-    )
-    return joined.select(
+    supplier = supplier.where(F.col("s_suppkey").between(-19, 19))  # a shop is a remainder of 20: at most 39 rows can match
+    joined = ev
+    for name, table, key, own in (("part", part, "item_id", "p_partkey"), ("customer", customer, "user_id", "c_custkey"),
+                                  ("supplier", supplier, "shop_id", "s_suppkey")):
+        if name in needed:
+            joined = joined.join(table, F.col(key) == F.col(own), "left")
+        else:
+            joined = joined.withColumns({f.name: F.lit(None).cast(f.dataType) for f in table.schema.fields})
+    out = joined.select(
         "instance_id", "user_id", "item_id", "context_timestamp", "day", "hour", "minute", "is_trade",
         "shop_id", "item_city_id", "item_brand_id",
         F.col("p_size").alias("item_price_level"),
@@ -83,6 +102,7 @@ def clicklog(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("predict_category_property"),
         "shop_score_service",
     )
+    return out.select(*columns) if columns else out
 
 
 # The same view for the DuckDB oracle (tables are pre-registered views).

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +13,24 @@ from clickwright.plans.ordered import with_position
 from clickwright.schema import LOG_SCHEMA, ColumnRoles
 
 
-def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast string columns read from text to the schema's types, by name."""
-    types = {f.name: f.dataType for f in schema.fields}
-    return df.select(
-        *[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns]
-    )
+def _typed(df: DataFrame, schema: T.StructType, lenient: bool, rejects: str | None = None) -> DataFrame:
+    """Cast string columns read from text to the schema's types, by name.
+
+    ``lenient``: a bad cell becomes null instead of an error; ``rejects`` names a column with the number of a row's bad cells.
+    """
+    types = {f.name: f.dataType for f in schema.fields if f.name in df.columns}
+    cast = {c: F.col(c).try_cast(t) if lenient else F.col(c).cast(t) for c, t in types.items()}
+    bad = [(F.col(c).isNotNull() & cast[c].isNull()).cast("int") for c in types]
+    count = [reduce(lambda a, b: a + b, bad, F.lit(0)).alias(rejects)] if rejects else []
+    return df.select(*[cast[c].alias(c) if c in cast else F.col(c) for c in df.columns], *count)
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType = LOG_SCHEMA, sep: str = " ") -> DataFrame:
+def read_log(
+    spark: SparkSession, path: str, schema: T.StructType = LOG_SCHEMA, sep: str = " ", lenient: bool = True, rejects: str | None = None
+) -> DataFrame:
     """Headered, delimited text log -> typed table (columns matched by header name)."""
     raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
-    return _typed(raw, schema)
+    return _typed(raw, schema, lenient, rejects)
 
 
 def read_log_limited(df: DataFrame, n: int, order_by: str = "instance_id") -> DataFrame:
@@ -31,9 +38,9 @@ def read_log_limited(df: DataFrame, n: int, order_by: str = "instance_id") -> Da
     return df.orderBy(order_by).limit(n)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, lenient: bool = True, rejects: str | None = None) -> DataFrame:
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return _typed(raw, schema)
+    return _typed(raw, schema, lenient, rejects)
 
 
 def read_labels_headerless(spark: SparkSession, path: str, name: str = "is_trade") -> DataFrame:
@@ -63,11 +70,11 @@ def concat_columns_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Positions follow each DataFrame's partition order, so both inputs should be
     ordered explicitly (``orderBy``).  Unequal lengths pad with nulls (full
-    outer join on the position).  Prefer a real key whenever one exists.
+    outer join on the position).  The result has no order of its own.  Prefer a real key whenever one exists.
     """
     lp = with_position(left, "_pos")
     rp = with_position(right, "_pos")
-    return lp.join(rp, "_pos", "full_outer").orderBy("_pos").drop("_pos")
+    return lp.join(rp, "_pos", "full_outer").drop("_pos")
 
 
 def save_dataset(df: DataFrame, folder: str, roles: ColumnRoles | None = None, partition_by: str | None = None) -> str:

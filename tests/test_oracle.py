@@ -6,7 +6,8 @@ from oracle import compare, duck
 
 from clickwright.plans.catalog import ORACLE, QUERIES
 
-SLOW: set[str] = set()
+#: fits of some hundred trees; test_model.py fits small ones
+SLOW = {"gbt_fit", "gbt_fit_early_stop", "gbt_refit", "predict_proba", "fit_feature_subset", "train_evaluate"}
 FAST = sorted(n for n in ORACLE if n not in SLOW)
 
 

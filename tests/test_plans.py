@@ -53,3 +53,57 @@ def test_ordered_windows_are_bucketed(spark):
         partition_spec = line.split("], [", 1)[1].split("]", 1)[0]
         ordered_by_bucket = "ORDER BY __b" in line or "__b#" in line.split("], [")[-1]
         assert "__b" in partition_spec or ordered_by_bucket, line
+
+
+def analysed(df):
+    """Plan before adaptive execution, without broadcasts."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_one_join_per_key_set(spark):
+    """Also before adaptive execution: n key sets cost n joins of the rows."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, joins in (("click_position_tab", 5), ("first_last_gap", 4), ("rolling_neighbor_counts", 3), ("expose_ratio", 2)):
+            plan = analysed(QUERIES[name](spark, SF_SMALL))
+            assert plan.count("SortMergeJoin") == joins, (name, plan.count("SortMergeJoin"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_single_pass_queries_read_no_dimension(spark):
+    plan = executed_plan(QUERIES["row_count"](spark, SF_SMALL))
+    assert "events.parquet" in plan and not any(t in plan for t in ("part.parquet", "customer.parquet", "supplier.parquet"))
+
+
+def test_label_codes_read_their_own_column(spark):
+    plan = executed_plan(QUERIES["label_encode"](spark, SF_SMALL))
+    assert "PartitionFilters: [isnotnull(__c" in plan
+
+
+def test_no_private_checkpoint_folder_on_a_cluster():
+    from clickwright.session import checkpoint_dir, is_local
+
+    assert is_local("local[8]") and not is_local("local-cluster[2,1,1024]") and not is_local("yarn") and not is_local("spark://h:7077")
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())

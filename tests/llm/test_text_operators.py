@@ -138,7 +138,15 @@ def test_simhash_odd(repeated, empty, odd):
     want = brute.simhash([(r.doc_id, r.text) for r in odd.collect()])
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
     assert simhash_dedup.keep_one_per_component(empty).count() == 0
-    assert simhash_dedup.keep_one_per_component(repeated).count() == len({r["component_id"] for r in got})
+    assert simhash_dedup.keep_one_per_component(repeated).count() == len({r["component"] for r in got})
+
+
+def test_simhash_without_ids(spark):
+    """Documents without an id, or with the same one, stay if their texts differ."""
+    prose = [" ".join(f"w{k}x{i * (k + 3) % 509}" for i in range(80)) for k in range(4)]
+    docs = spark.createDataFrame([(None, prose[0]), (None, prose[1]), (7, prose[2]), (7, prose[3]), (None, prose[3])], "doc_id long, text string")
+    kept = simhash_dedup.keep_one_per_component(docs).collect()
+    assert sorted(r.text for r in kept) == sorted(prose) and {r.doc_id for r in kept if r.text == prose[3]} == {7}
 
 
 def test_components(spark):

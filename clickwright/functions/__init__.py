@@ -76,10 +76,17 @@ def nth_token(c, i: int, sep: str = ";") -> Column:
     return F.get(F.split(col(c), sep), i)
 
 
-def tokens_to_int(c, sep: str = ";") -> Column:
-    """Split and cast every token to bigint; unparsable tokens are dropped."""
-    arr = F.transform(F.split(col(c), sep), lambda x: x.try_cast("bigint"))
-    return F.filter(arr, lambda x: x.isNotNull())
+def tokens_to_int(c, sep: str = ";", lenient: bool = True) -> Column:
+    """Split and cast every token to bigint; with ``lenient`` unparsable tokens are dropped, else they are an error."""
+    tokens = F.split(col(c), sep)
+    if not lenient:
+        return F.transform(tokens, lambda x: x.cast("bigint"))
+    return F.filter(F.transform(tokens, lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())
+
+
+def rejected_tokens(c, sep: str = ";") -> Column:
+    """Number of tokens that ``tokens_to_int`` drops."""
+    return F.size(F.filter(F.split(col(c), sep), lambda x: x.try_cast("bigint").isNull()))
 
 
 # Fixed patterns of the predicted-category parser: digits right before ':'

@@ -52,7 +52,8 @@ def group_collect_list(df: DataFrame, keys: Sequence[str], col: str, name: str |
     """Per key, the multiset of values as a sorted run-length list ``[(value, count), ...]``.
 
     Equal values are pre-aggregated before the shuffle, so the list is bounded
-    by the number of distinct values per key, not by the key's row count.
+    by the number of distinct values per key, not by the key's row count.  With many distinct
+    values use the long form, ``df.groupBy(*keys, col).count()``.
     """
     name = name or f"{col}_list"
     pairs = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("count"))
@@ -60,7 +61,8 @@ def group_collect_list(df: DataFrame, keys: Sequence[str], col: str, name: str |
 
 
 def group_collect_set(df: DataFrame, keys: Sequence[str], col: str, name: str | None = None) -> DataFrame:
-    """Per key, the sorted distinct values (bounded by the value domain)."""
+    """Per key, the sorted distinct values.  One row holds them all, so this is for value domains that are known to be
+    small; ``df.select(*keys, col).distinct()`` is the long form without a bound."""
     name = name or f"{col}_set"
     return df.groupBy(*keys).agg(F.sort_array(F.collect_set(col)).alias(name))
 
@@ -97,15 +99,13 @@ def dedup_keep(
 ) -> DataFrame:
     """Keep the first (or last) row of each ``subset`` group in ``order`` (+ id); nulls group together.
 
-    ``min``/``max`` over a struct of the order columns and the row: a partial
-    aggregation, one candidate row per key per task before the shuffle.
+    Only order columns and ids are aggregated (a partial aggregation: one candidate per key and
+    task before the shuffle); the rows follow by a semi-join on their unique ``id_col``.
     """
-    rest = [c for c in df.columns if c not in subset]
-    order_keys = [c for c in list(order) + [id_col] if c in df.columns]
-    packed = F.struct(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order_keys)], F.struct(*rest).alias("__row"))
+    packed = F.struct(*dict.fromkeys([*order, id_col]))
     agg = F.min(packed) if keep == "first" else F.max(packed)
-    picked = df.groupBy(*subset).agg(agg.alias("__p"))
-    return picked.select(*subset, *[F.col(f"__p.__row.{c}").alias(c) for c in rest]).select(*df.columns)
+    picked = df.groupBy(*subset).agg(agg.alias("__p")).select(F.col(f"__p.{id_col}").alias(id_col))
+    return df.join(picked, id_col, "left_semi")
 
 
 def duplicate_mask(

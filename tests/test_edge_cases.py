@@ -97,3 +97,27 @@ def test_missing_ratio_exactly_threshold_is_kept(spark):
     df = spark.createDataFrame(rows, "instance_id bigint, a double, b double")
     assert cl.sparse_columns(df, 0.6) == []
     assert cl.sparse_columns(df, 0.5) == ["a"]
+
+
+def test_lenient_parsing_counts_rejects(spark, tmp_path):
+    import pytest
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from clickwright.functions import rejected_tokens, tokens_to_int
+    from clickwright.sources import files as fs
+
+    df = spark.createDataFrame([("1;x;3",), ("4",)], "t string")
+    got = df.select(tokens_to_int("t").alias("v"), rejected_tokens("t").alias("n")).collect()
+    assert [(r.v, r.n) for r in got] == [([1, 3], 1), ([4], 0)]
+    with pytest.raises(PySparkException):
+        df.select(tokens_to_int("t", lenient=False)).collect()
+    path = f"{tmp_path}/log.csv"
+    with open(path, "w") as f:
+        f.write("a,b\n1,2\nx,\n")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
+    rows = fs.read_csv(spark, path, schema, rejects="bad").orderBy(F.col("bad")).collect()
+    assert [(r.a, r.b, r.bad) for r in rows] == [(1, 2, 0), (None, None, 1)]
+    with pytest.raises(PySparkException):
+        fs.read_csv(spark, path, schema, lenient=False).collect()

@@ -57,22 +57,32 @@ class Encoder:
                 return
             at = cut.start()
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of `` word`` for each word.  Plain words go in one run: in it a token starts with a space just where a word does."""
-        odd = [w for w in words if not w or " " in w or w[0].isspace() or w[-1].isspace()]
-        out = dict(zip(odd, self.whole([f" {w}" for w in odd])))
-        plain = [w for w in words if w not in out] if odd else words
-        groups = [plain[i : i + RUN] for i in range(0, len(plain), RUN)]
+    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Put the ids of `` word`` for each word into a dict.
+
+        Words go in runs: in a run a token starts with a space just where a word does.  Words with white space of
+        their own, which could join their neighbours, are encoded alone.
+        """
+        groups = []
+        for i in range(0, len(words), RUN):
+            group = words[i : i + RUN]
+            run = " " + " ".join(group)
+            if _NEAR.search(run) or run[-1].isspace():
+                odd = {w for w in group if not w or " " in w or w[0].isspace() or w[-1].isspace()}
+                into.update(zip(odd, self.whole([f" {w}" for w in odd])))
+                group = [w for w in group if w not in odd]
+                run = " " + " ".join(group)
+            if group:
+                groups.append((group, run))
         size = self.dtype.itemsize
         for i in range(0, len(groups), 64):
             some = groups[i : i + 64]
-            for group, raw in zip(some, self.whole([" " + " ".join(g) for g in some])):
+            for (group, _), raw in zip(some, self.whole([run for _, run in some])):
                 cuts = (np.flatnonzero(self.spaced[np.frombuffer(raw, self.dtype)]) * size).tolist()
                 if len(cuts) != len(group):
-                    out.update(zip(group, self.whole([f" {w}" for w in group])))
+                    into.update(zip(group, self.whole([f" {w}" for w in group])))
                     continue
-                out.update(zip(group, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
-        return out
+                into.update(zip(group, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of ``dtype``."""
@@ -92,8 +102,8 @@ class Encoder:
             for p in lists:
                 words.update(p)
         memo = self.memo
-        fresh = self._learn(list(words.difference(memo)))
-        memo.update(fresh)
+        fresh = list(words.difference(memo))
+        self._learn(fresh, memo)
         out = [b"".join(next(heads) + b"".join(map(memo.__getitem__, p)) for p in lists) for lists in pieces]
         full = len(memo) > MEMO
         for w in fresh:

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickwright.operators.joins import all_not_null, attach
+from clickwright.operators.joins import all_not_null, attach, null_safe_keys
 from clickwright.schema import (
     ACTIVE_PER_GRAIN, AGGREGATE_LEVEL, EXPOSE_PAIRS, EXPOSE_RATIO_DIGITS, MINUTE_BUCKETS, RELATIVE_RATIO,
     RELATIVE_RATIO_DIGITS,
@@ -68,15 +68,18 @@ class KeyedFeatures:
         They always read the rows as given, never those that earlier key sets were joined to, so n key
         sets cost n aggregations and n joins.
         """
-        base = df
+        base, types = df, {f.name: f.dataType for f in df.schema}
         for keys, spec in self._specs.items():
             src = source() if source else base
-            src = src if spec["null_safe"] else src.where(all_not_null(keys))
-            feat = src.groupBy(*keys).agg(*[e.alias(n) for n, e in spec["aggs"].items()])
-            # the projection below keeps only the row columns, so the renamed right keys vanish there
-            joined = attach(df, feat, list(keys), null_safe=spec["null_safe"], drop_right_keys=False)
-            keep = [c for c in df.columns if c not in spec["post"]]
-            df = joined.select(*keep, *[e.alias(n) for n, e in spec["post"].items()])
+            if spec["null_safe"]:
+                on = null_safe_keys(keys, types)
+                df, src = df.withColumns(on), src.withColumns(on)
+            else:
+                on = keys
+                src = src.where(all_not_null(keys))
+            feat = src.groupBy(*on).agg(*[e.alias(n) for n, e in spec["aggs"].items()])
+            keep = [c for c in df.columns if c not in spec["post"] and (c in keys or c not in on)]
+            df = attach(df, feat, list(on)).select(*keep, *[e.alias(n) for n, e in spec["post"].items()])
         return df
 
     def output_columns(self) -> list[str]:

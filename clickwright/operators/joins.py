@@ -7,12 +7,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
 
 
 def all_not_null(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
+def null_safe_keys(keys: Sequence[str], types: Mapping[str, DataType]) -> dict[str, Column]:
+    """Columns without nulls that are equal just where ``keys`` are equal or both null.
+
+    Grouping by them and joining on them takes one shuffle of the groups; a ``<=>`` join would shuffle them again.
+    """
+    out = {}
+    for k in keys:
+        default = F.lit("") if isinstance(types[k], StringType) else F.lit(0)
+        out[f"__v_{k}"] = F.coalesce(F.col(k), default.cast(types[k]))
+        out[f"__z_{k}"] = F.col(k).isNull()
+    return out
+
+
 def attach(df: DataFrame, features: DataFrame, keys: Sequence[str], *, null_safe: bool = False,
            drop_right_keys: bool = True) -> DataFrame:
     """Left equi-join of a per-key feature table (unique on ``keys``) onto the rows.

@@ -8,14 +8,16 @@ the log, not by the number of clicks, however hot the key.  Results are
 attached back with an equi-join on ``(key, second)``.
 
 Group-position features (first/last click, click tab) need no order at all:
-``min``/``max`` of a ``struct(order..., id)`` is a partial aggregation.
+``min``/``max`` of the order's columns, packed into one number, is a partial
+hash aggregation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickwright.operators.joins import all_not_null, attach
@@ -185,6 +187,47 @@ def gap_to_last_view(df: DataFrame, grains: Sequence[str] = LAST_VIEW_GRAINS, us
     return df
 
 
+#: seconds are taken as within +-2^52, so that (seconds, id) or (id, seconds) fit into one decimal(38,0)
+_SECONDS, _LONGS = (1 << 53, -(1 << 52)), (1 << 64, -(1 << 63))
+
+
+def _whole(value: int) -> Column:
+    return F.lit(Decimal(value)).cast("decimal(38,0)")
+
+
+class RowOrder:
+    """First and last values in the order of one or two columns, as plain numbers.
+
+    ``min``/``max`` of a struct can only be aggregated by sorting the rows of each task; of a long or a decimal they are hash aggregates.
+    Nulls come first.  More columns, or columns that are not integers, are compared as a struct.
+    """
+
+    def __init__(self, columns: Sequence[str], seconds: str, integers: bool = True):
+        self.columns = list(columns)
+        self.spans = [_SECONDS if c == seconds else _LONGS for c in self.columns]
+        self.packed = integers and (len(columns) == 1 or (len(columns) == 2 and _SECONDS in self.spans))
+
+    def _number(self, i: int) -> Column:
+        return F.coalesce(F.col(self.columns[i]).cast("bigint"), F.lit(self.spans[i][1]))
+
+    def key(self) -> Column:
+        if not self.packed:
+            return F.struct(*self.columns)
+        if len(self.columns) == 1:
+            return self._number(0)
+        span, low = self.spans[1]
+        scaled = (self._number(0).cast("decimal(19,0)") * F.lit(Decimal(span))).cast("decimal(38,0)")
+        return (scaled + (self._number(1).cast("decimal(38,0)") - _whole(low))).cast("decimal(38,0)")
+
+    def last(self, key: Column) -> Column:
+        """The last column's value in a key."""
+        if not self.packed:
+            return key[self.columns[-1]]
+        span, low = self.spans[-1]
+        value = key if len(self.columns) == 1 else (F.pmod(key, _whole(span)) + _whole(low)).cast("bigint")
+        return F.nullif(value, F.lit(low).cast("bigint"))
+
+
 def group_position_specs(
     batch,
     *,
@@ -192,46 +235,50 @@ def group_position_specs(
     gap_groups: Mapping[str, Sequence[str]] | None = None,
     order: Sequence[str] = ("user_id", TS),
     id_col: str = ID,
+    integers: bool = True,
 ) -> list[str]:
     """Add click-tab and first/last-gap specs to a ``KeyedFeatures`` batch (null keys group together).
 
-    Per key set: size, and ``min``/``max`` of ``struct(order..., id)`` -- the
-    first and last row -- as partial aggregations.
+    Per key set: size, and the first and last row in (``order``, id) order, as partial aggregations.  Columns of the key set are
+    constant in a group and left out of the order.  ``integers``: all columns of the order are integers (see ``RowOrder``).
     """
-    k = list(order) + [id_col]
     names = []
-
-    def aggs():
-        first, last = F.min(F.struct(*k)), F.max(F.struct(*k))
-        return {"__pn": F.count(F.lit(1)), "__pf": first, "__pl": last}
-
     single = F.col("__pn") == F.lit(1)
+    n = {"__pn": F.count(F.lit(1))}
     for subset in tab_subsets:
         name = "click_" + "_".join(c for c in subset if c != "day") + "_tab"
         names.append(name)
+        rows = RowOrder([*(c for c in order if c not in subset), id_col], TS, integers)
         expr = (
             F.when(single, F.lit(0))
-            .when(F.col(id_col) == F.col("__pf")[id_col], F.lit(2))
-            .when(F.col(id_col) == F.col("__pl")[id_col], F.lit(3))
+            .when(F.col(id_col) == rows.last(F.col("__pf")), F.lit(2))
+            .when(F.col(id_col) == rows.last(F.col("__pl")), F.lit(3))
             .otherwise(F.lit(1))
             .cast("int")
         )
-        batch.add(subset, aggs(), {name: expr}, mask_null_keys=False)
+        batch.add(subset, n | {"__pf": F.min(rows.key()), "__pl": F.max(rows.key())}, {name: expr}, mask_null_keys=False)
     for p, keys in (gap_groups or {}).items():
         f, l = f"{p}_day_diffTime_first", f"{p}_day_diffTime_last"
         names += [f, l]
+        # the time of the first row does not depend on what orders rows after it
+        upto = order[: list(order).index(TS)] if TS in order else [*order, id_col]
+        rows = RowOrder([*(c for c in upto if c not in keys), TS], TS, integers)
         batch.add(
             keys,
-            aggs(),
+            n | {"__gf": F.min(rows.key()), "__gl": F.max(rows.key())},
             {
-                f: F.when(single, F.lit(-1)).otherwise(F.col(TS) - F.col("__pf")[TS]).cast("bigint"),
-                l: F.when(single, F.lit(-1)).otherwise(F.col("__pl")[TS] - F.col(TS)).cast("bigint"),
+                f: F.when(single, F.lit(-1)).otherwise(F.col(TS) - rows.last(F.col("__gf"))).cast("bigint"),
+                l: F.when(single, F.lit(-1)).otherwise(rows.last(F.col("__gl")) - F.col(TS)).cast("bigint"),
             },
             mask_null_keys=False,
         )
     return names
 
 
+def are_integers(df: DataFrame, columns: Sequence[str]) -> bool:
+    return all(df.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") for c in columns)
+
+
 def group_position_features(
     df: DataFrame,
     *,
@@ -244,7 +291,8 @@ def group_position_features(
     from clickwright.operators.grouped import KeyedFeatures
 
     batch = KeyedFeatures()
-    group_position_specs(batch, tab_subsets=tab_subsets, gap_groups=gap_groups, order=order, id_col=id_col)
+    integers = are_integers(df, [*order, TS, id_col])
+    group_position_specs(batch, tab_subsets=tab_subsets, gap_groups=gap_groups, order=order, id_col=id_col, integers=integers)
     return batch.apply(df)
 
 

@@ -73,7 +73,8 @@ def build_features(df: DataFrame, roll_seconds: int = ROLL_SECONDS, materialize_
     gr.aggregate_level_specs(batch)
     gr.active_per_grain_specs(batch)
     gr.relative_ratio_specs(batch)
-    seq.group_position_specs(batch, tab_subsets=CLICK_TAB_SUBSETS, gap_groups=FIRST_LAST_GROUPS)
+    seq.group_position_specs(batch, tab_subsets=CLICK_TAB_SUBSETS, gap_groups=FIRST_LAST_GROUPS,
+                             integers=seq.are_integers(base, ["user_id", seq.TS, seq.ID]))
     gr.daily_specs(batch)
     grouped_cols = batch.output_columns()
     families = [

@@ -121,3 +121,22 @@ def test_lenient_parsing_counts_rejects(spark, tmp_path):
     assert [(r.a, r.b, r.bad) for r in rows] == [(1, 2, 0), (None, None, 1)]
     with pytest.raises(PySparkException):
         fs.read_csv(spark, path, schema, lenient=False).collect()
+
+
+def test_packed_order_equals_struct_order(spark):
+    """Nulls, ties, negative and extreme values: the packed numbers order rows as a struct does."""
+    from pyspark.sql import functions as F
+
+    from clickwright.operators.sequence import RowOrder
+
+    big, times = (1 << 63) - 1, [None, -5, 0, 1_537_000_000, -(1 << 51), (1 << 51)]
+    ids = [None, 1 - big, -1, 0, 1, 7, big]
+    rows = [(t, i) for t in times for i in ids]
+    df = spark.createDataFrame(rows, "ts long, id long")
+    for columns in (["ts", "id"], ["id", "ts"], ["ts"]):
+        packed, plain = RowOrder(columns, "ts"), RowOrder(columns, "ts", integers=False)
+        assert packed.packed and not plain.packed
+        keyed = df.select("ts", "id", packed.key().alias("p"), plain.key().alias("s"))
+        assert keyed.orderBy("p").select(*columns).collect() == keyed.orderBy("s").select(*columns).collect()
+        assert keyed.where(~packed.last(F.col("p")).eqNullSafe(F.col(columns[-1]))).count() == 0
+    assert not RowOrder(["id", "other"], "ts").packed

@@ -72,6 +72,18 @@ def test_one_join_per_key_set(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_positions_are_hash_aggregates_with_two_shuffles_per_key_set(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, key_sets in (("click_position_tab", 5), ("first_last_gap", 4)):
+            plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+            assert "SortAggregate" not in plan, name
+            assert plan.count("Exchange hashpartitioning") == 2 * key_sets, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_single_pass_queries_read_no_dimension(spark):
     plan = executed_plan(QUERIES["row_count"](spark, SF_SMALL))
     assert "events.parquet" in plan and not any(t in plan for t in ("part.parquet", "customer.parquet", "supplier.parquet"))

@@ -187,7 +187,7 @@ def judge(rows: DataFrame, cutoffs: DataFrame, prefix: str = "") -> DataFrame:
     p = prefix
     cutoffs = settle(cutoffs.select(F.col("stratum").alias(f"{p}stratum"), F.col("cutoffs").alias(f"{p}cutoffs")), "cutoffs")
     failed = F.array_compact(F.array(*[F.when(F.col(f"{p}s_{r}") > F.element_at(f"{p}cutoffs", F.lit(r)), F.lit(r)) for r in RULES]))
-    out = rows.join(cutoffs, f"{p}stratum", "left").withColumn(f"{p}failed_rules", F.coalesce(failed, F.array().cast("array<string>")))
+    out = rows.drop(f"{p}cutoffs").join(cutoffs, f"{p}stratum", "left").withColumn(f"{p}failed_rules", F.coalesce(failed, F.array().cast("array<string>")))
     return out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.size(f"{p}failed_rules") == 0))
 
 

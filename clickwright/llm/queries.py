@@ -49,7 +49,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.with_features(documents(spark, sf_dir))
+    rows = quality_rules.with_features(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     rows = settle(rows.drop("text"), "quality-rows")
     out = quality_rules.judge(rows, quality_rules.fit_cutoffs(rows, documents(spark, sf_dir, "labels")))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -102,6 +102,16 @@ def test_quality_odd(spark, odd, repeated, empty):
         assert out.count() == want
 
 
+def test_quality_clashing_names(spark, odd):
+    """Columns named like the operator's own."""
+    marks = spark.createDataFrame([(5, 1)], "doc_id long, quality int")
+    clash = odd.withColumns({c: F.lit("z") for c in ("cutoffs", "stratum", "n_words", "features", "failed_rules", "quality", "_id", "scores")})
+    assert quality_rules.keep_good(clash, marks).columns == clash.columns
+    counted = quality_rules.with_features(clash)
+    judged = quality_rules.judge(counted, quality_rules.fit_cutoffs(counted, marks))
+    assert {r.doc_id: r.kept for r in judged.collect()} == {r.doc_id: not brute.quality(r.text)["base_failed"] for r in odd.collect()}
+
+
 def test_simhash(small, odd, spark):
     for docs in (small, odd):
         want = brute.simhash([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])

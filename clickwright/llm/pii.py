@@ -5,17 +5,19 @@ text between the matches and ``regexp_extract_all`` the matches, so positions ar
 the plain ones, written so that Java's matcher needs linear time and no recursion: a match can only start where the run of
 its first character class starts (or where the last match ended), and repeats are possessive.
 
-Method: a term is a word near a mention of a protected entity (an address, number ...).  Over all documents, with the
-number of documents N, df(c) of the entity, df(t) of the term and df(t, c) where t stands near c,
+Method: a term is a word in a document that mentions a protected entity (an address, number ...), at any distance.  Over all documents,
+with the number of documents N, df(c) of the entity, df(t) of the term and df(t, c) of both in one document,
 
     disclosure(t, c) = PMI(t; c) / IC(c),  PMI = log2(N df(t, c) / (df(t) df(c))),  IC = log2(N / df(c)),
 
 is the share of the entity's information that the term gives away (1: the term occurs with the entity only).  A pair counts as
-evidence from ``min_support`` documents on.  Mentions' terms with disclosure from ``generalise_at`` on are generalised (initial letter),
-from ``remove_at`` on removed; the entities themselves are replaced by their kind.
+evidence from ``min_support`` documents on.  Terms with disclosure from ``generalise_at`` on are generalised (initial letter), from
+``remove_at`` on removed, at all their places in each document that mentions the entity; the entities themselves are replaced by their kind.
 
-Only terms within ``NEAR`` words and ``REACH`` characters of a mention are paired with it, so pairs grow with the mentions, not with the square
-of a document.  Counts of terms and pairs are partial aggregates over all documents; hot terms and entities meet as one row per task.
+Three exact steps keep the pairs few.  Entities and terms of fewer than ``min_support`` documents make no pair.  As df(t, c) <= df(c), disclosure g
+needs df(t) <= N^(1 - g) df(c)^g, so frequent words meet frequent entities only.  And entities (terms) of the same documents have
+the same counts, so they are paired as one class: copies of a long list cost one pair, not the square of the list.
+Counts are partial aggregates over all documents; hot terms and entities meet as one row per task.
 
 Defined results: a null text is empty and has no spans.  Repeated rows count as documents.  Null ids and extra columns pass.  An empty
 table gives an empty result.  Terms that overlap a base span are not reported.
@@ -40,7 +42,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 BYTE = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})$"
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?!\.?[\p{L}\p{N}@_%+-])"
-NEAR, REACH, BLOCK = 8, 160, 256
+BLOCK = 256
 
 
 def prefix_sums(sizes: Column) -> Column:
@@ -61,7 +63,7 @@ def prefix_sums(sizes: Column) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, v, l, r>> of all matches: start, end, match, and up to REACH characters on either side up to the next match."""
+    """array<struct<s, e, v>> of all matches: start, end, match."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def build(g: Column, m: Column) -> Column:
@@ -69,14 +71,8 @@ def located(text: Column, pattern: str) -> Column:
 
         def spans(before: Column) -> Column:
             def one(x: Column, i: Column) -> Column:
-                left, start = F.get(g, i), F.get(before, i) + F.length(F.get(g, i))
-                return F.struct(
-                    start.alias("s"),
-                    (start + F.length(x)).alias("e"),
-                    x.alias("v"),
-                    F.right(left, F.lit(REACH)).alias("l"),
-                    F.left(F.get(g, i + 1), F.lit(REACH)).alias("r"),
-                )
+                start = F.get(before, i) + F.length(F.get(g, i))
+                return F.struct(start.alias("s"), (start + F.length(x)).alias("e"), x.alias("v"))
 
             return F.transform(m, one)
 
@@ -108,25 +104,44 @@ def _valid(kind: str, v: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<k, s, e, c, l, r>> by kind, then start; c is the entity as a 64-bit hash, so no value is stored."""
+    """array<struct<k, s, e, c>> by kind, then start; c is the entity as a 64-bit hash, so no value is stored."""
 
     def of(kind: str) -> Column:
         def keep(x: Column) -> Column:
             value = F.lower(x["v"]) if kind == "email" else F.regexp_replace(x["v"], "[^0-9.]", "") if kind == "ip" else _digits(x["v"])
             entity = F.xxhash64(F.lit(kind), value)
-            return F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), entity.alias("c"), x["l"].alias("l"), x["r"].alias("r"))
+            return F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), entity.alias("c"))
 
         spans = F.transform(F.filter(located(text, PATTERNS[kind]), lambda x: _valid(kind, x["v"])), keep)
-        none = F.array().cast("array<struct<k:int,s:int,e:int,c:bigint,l:string,r:string>>")
+        none = F.array().cast("array<struct<k:int,s:int,e:int,c:bigint>>")
         return F.when(F.contains(text, F.lit(NEEDS[kind])), spans).otherwise(none) if NEEDS[kind] else spans
 
     return F.concat(*[of(k) for k in KINDS[:4]])
 
 
-def _terms(context: Column, at: Column, last: bool) -> Column:
-    """Terms of a short context: array<struct<t, s, e>>, the NEAR ones next to the mention."""
-    found = F.transform(located(context, TERM), lambda x: F.struct(F.lower(x["v"]).alias("t"), (at + x["s"]).alias("s"), (at + x["e"]).alias("e")))
-    return let(found, lambda f: F.slice(f, F.greatest(F.lit(1), F.size(f) - NEAR + 1), F.lit(NEAR))) if last else F.slice(found, 1, NEAR)
+def _words(text: Column) -> Column:
+    """The distinct words of four letters and more, lower-cased one by one as terms are."""
+    return F.array_distinct(F.transform(F.filter(F.array_distinct(F.split(text, r"\P{L}+")), lambda w: F.length(w) >= 4), F.lower))
+
+
+def _classes(rows: DataFrame, name: str, count: str, least: int) -> DataFrame:
+    """(name, count, class): those of ``rows`` (uid, name) in ``least`` documents and more; the same documents make the same class."""
+    own = rows.groupBy(name).agg(F.count(F.lit(1)).alias(count), F.bit_xor(F.xxhash64("uid")).alias("_of"))
+    return own.where(F.col(count) >= least).select(name, count, F.xxhash64("_of", count).alias("class"))
+
+
+def _apart(x: Column, spans: Column) -> Column:
+    """Whether x overlaps none of the spans, disjoint ones in order: a search by halves for the last that starts before the end of x."""
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        right = F.get(spans, mid)["s"] < x["e"]
+        lo, hi = F.when(right, mid + 1).otherwise(a["lo"]), F.when(right, a["hi"]).otherwise(mid)
+        return F.when(a["lo"] >= a["hi"], a).otherwise(F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    steps = F.sequence(F.lit(0), F.length(F.bin(F.size(spans))))
+    last = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve, lambda a: a["lo"] - 1)
+    return let(last, lambda i: (i < 0) | (F.get(spans, i)["e"] <= x["s"]))
 
 
 def find_spans(
@@ -139,28 +154,39 @@ def find_spans(
 ) -> DataFrame:
     """One row per document: id, text_hash, spans (base), terms: array<struct<s, e, remove>> sorted, without overlaps with base spans."""
     text = text_of(docs, text_col)
-    base = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("spans"))
+    base = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("spans"))
+    base = base.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))  # later passes need no other texts
     base = settle(base.withColumn("uid", F.monotonically_increasing_id()), "pii-base")
-    n_docs = base.count()
-
-    mentions = base.where(F.size("spans") > 0).select("uid", F.explode("spans").alias("m"))
-    near = F.concat(_terms(F.col("m.l"), F.col("m.s") - F.length("m.l"), True), _terms(F.col("m.r"), F.col("m.e"), False))
-    contexts = settle(mentions.select("uid", F.col("m.c").alias("c"), F.explode(near).alias("x")).select("uid", "c", "x.t", "x.s", "x.e"), "pii-contexts")
-    pairs = contexts.select("uid", "c", "t").distinct().groupBy("c", "t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support)
-    pairs = settle(pairs, "pii-pairs")
-    of_entity = mentions.select("uid", F.col("m.c").alias("c")).distinct().groupBy("c").agg(F.count(F.lit(1)).alias("df_c"))
-    words = F.array_distinct(F.split(F.lower(text), r"\P{L}+"))
-    of_term = docs.select(F.explode(words).alias("t")).where(F.length("t") >= 4).groupBy("t").agg(F.count(F.lit(1)).alias("df_t"))
-    known = pairs.join(of_entity, "c").join(of_term, "t")
-    pmi = F.log2(F.col("both") * F.lit(float(n_docs)) / (F.col("df_t") * F.col("df_c")))
-    disclosure = F.coalesce(F.try_divide(pmi, F.log2(F.lit(float(n_docs)) / F.col("df_c"))), F.lit(0.0))
-    telling = settle(known.select("c", "t", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise_at), "pii-telling")
-
-    hits = contexts.join(telling, ["c", "t"]).groupBy("uid", "s", "e").agg((F.max("disclosure") >= remove_at).alias("remove"))
+    n_docs = float(max(base.count(), 1))
+    at_most = lambda df_c: F.pow(F.lit(n_docs), F.lit(1 - generalise_at)) * F.pow(df_c, F.lit(generalise_at)) * (1 + 1e-9)
+
+    mentions = base.where(F.size("spans") > 0).select("uid", F.explode(F.array_distinct(F.col("spans.c"))).alias("c"))
+    entities = mentions.join(_classes(mentions, "c", "df_c", min_support), "c").select("uid", F.col("class").alias("c"), "df_c").distinct()
+    entities = settle(entities, "pii-entities")
+    top = F.lit(float(entities.agg(F.max("df_c")).first()[0] or 1))
+    of_term = docs.select(F.explode(_words(text)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df_t"))
+    of_term = settle(of_term.where((F.col("df_t") >= min_support) & (F.col("df_t") <= at_most(top))), "pii-words")
+
+    shown = base.join(entities.select("uid").distinct(), "uid", "left_semi")
+    places = shown.select("uid", F.explode(located(F.col("text"), TERM)).alias("x")).select("uid", F.lower("x.v").alias("t"), "x.s", "x.e")
+    places = settle(places.join(of_term, "t"), "pii-places")
+    terms = places.select("uid", "t", "df_t").distinct()
+    terms = terms.join(_classes(terms, "t", "_n", min_support), "t").select("uid", "t", F.xxhash64("class", "df_t").alias("w"), "df_t")
+    terms = settle(terms, "pii-terms")
+
+    met = entities.join(terms.select("uid", "w", "df_t").distinct(), "uid").where(F.col("df_t") <= at_most(F.col("df_c")))
+    known = met.groupBy("c", "w", "df_c", "df_t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support)
+    pmi = F.log2(F.col("both") * F.lit(n_docs) / (F.col("df_t") * F.col("df_c")))
+    disclosure = F.coalesce(F.try_divide(pmi, F.log2(F.lit(n_docs) / F.col("df_c"))), F.lit(0.0))
+    telling = settle(known.select("c", "w", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise_at), "pii-telling")
+
+    worst = met.select("uid", "c", "w").join(telling, ["c", "w"]).groupBy("uid", "w").agg((F.max("disclosure") >= remove_at).alias("remove"))
+    hits = places.select("uid", "t", "s", "e").join(terms.select("uid", "t", "w").join(worst, ["uid", "w"]), ["uid", "t"])
     hits = hits.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "e", "remove"))).alias("terms"))
-    apart = lambda x: ~F.exists("spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    terms = F.filter(F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,remove:boolean>>")), apart)
-    return base.join(hits, "uid", "left").select("id", "text_hash", "spans", terms.alias("terms"))
+    mails = F.filter("spans", lambda b: b["k"] == KINDS.index("email"))  # no other kind has letters
+    none = F.array().cast("array<struct<s:int,e:int,remove:boolean>>")
+    found = F.when(F.col("terms").isNull(), none).otherwise(let(mails, lambda m: F.filter("terms", lambda x: _apart(x, m))))
+    return base.drop("text").join(hits, "uid", "left").select("id", "text_hash", "spans", found.alias("terms"))
 
 
 def digest_columns(found: DataFrame) -> list[Column]:

@@ -124,3 +124,61 @@ def test_templates(spark):
 
 def test_license_odd(repeated, empty):
     assert licenses.scan_licenses(repeated).count() == repeated.count() and licenses.scan_licenses(empty).count() == 0
+
+
+def test_disclosure_anywhere(spark):
+    """A telling word far from the mention is found, at all its places, in documents that mention the entity only."""
+    gap = "common words here and more of them again " * 12
+    data = [(i, f"Zanzibar office. {gap} jo@example.org {gap} the zanzibar, or ZANZIBAR. {gap}") for i in range(4)]
+    data += [(4, f"{gap} zanzibar {gap}"), *((10 + i, f"{gap} number {i}") for i in range(400))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    out = pii.find_spans(docs, generalise_at=0.8, remove_at=0.99)
+    rows = {r["id"]: r for r in out.collect()}
+    for i in range(4):
+        terms = rows[i]["terms"]
+        assert [data[i][1][t["s"] : t["e"]] for t in terms] == ["Zanzibar", "office", "zanzibar", "ZANZIBAR"]
+        assert [t["remove"] for t in terms] == [False, True, False, False]  # zanzibar is known without the address, too
+    assert not any(rows[i]["terms"] for i in rows if i >= 4)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs, out).collect()}
+    assert all("zanzibar" not in clean[i].lower() and "the z*, or Z*." in clean[i] for i in range(4)) and "zanzibar" in clean[4]
+
+
+def test_disclosure_random(spark):
+    """Against counting all pairs of all documents."""
+    import math
+    import random
+    import re
+
+    rng = random.Random(3)
+    names = [f"p{i}@a.bc" for i in range(6)] + ["abcd..efgh@a.bc"]
+    words = [chr(97 + i) * 4 for i in range(26)]
+    texts = []
+    for i in range(150):
+        own = [n for n in names if rng.random() < 0.04]
+        said = rng.choices(words, [1 / (k + 1) ** 2 for k in range(26)], k=12) + [w for n in own for w in (words[names.index(n) + 15],) * 2]
+        parts = own + said
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += texts[:3]  # repeated rows are documents
+    term = re.compile(r"(?<![^\W_@.%+-])[a-z]{4,}(?!\.?[\w@%+-])")
+    mails = [{m[0]: m.span() for m in re.finditer(brute.PERSONAL["email"], t)} for t in texts]
+    found = [[m for m in term.finditer(t) if t[m.start() - 1 : m.start()] not in list("@._%+-")] for t in texts]
+    said = [{m[0] for m in f} for f in found]
+    every = [set(re.split(r"[^a-z]+", t)) for t in texts]
+    n = len(texts)
+    want = []
+    for d, t in enumerate(texts):
+        marks = []
+        for m in found[d]:
+            best = -9.0
+            for c in mails[d]:
+                df_c, df_t = sum(c in x for x in mails), sum(m[0] in x for x in every)
+                both = sum(c in x and m[0] in y for x, y in zip(mails, said))
+                if both >= 2 and df_c < n:
+                    best = max(best, math.log2(both * n / (df_t * df_c)) / math.log2(n / df_c))
+            if best >= 0.5 and not any(s < m.end() and m.start() < e for s, e in (x.span() for x in re.finditer(brute.PERSONAL["email"], t))):
+                marks.append((m.start(), m.end(), best >= 0.9))
+        want.append(marks)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: [tuple(t) for t in r["terms"]] for r in pii.find_spans(docs, generalise_at=0.5, remove_at=0.9).collect()}
+    assert [got[d] for d in range(n)] == want and sum(map(len, want)) > 40

@@ -182,3 +182,21 @@ def test_disclosure_random(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["id"]: [tuple(t) for t in r["terms"]] for r in pii.find_spans(docs, generalise_at=0.5, remove_at=0.9).collect()}
     assert [got[d] for d in range(n)] == want and sum(map(len, want)) > 40
+
+
+def test_disclosure_between_numbers_and_in_lists(spark):
+    """Numbers that are no cards, versions and the other entities of a list hide no term and cut none in two."""
+    common = "common words here and things about other project from nobody"
+    data = [(i, f"Kowalski, flat 12, no 34, v 1.2.3.999, card 4111111111111111. {common} {i}") for i in range(3)]
+    data += [(10 + i, f"lists Nightingale: a{i}@b.cd, jo@example.org, c{i}@d.ef, 10.0.0.1 {common}") for i in range(3)]
+    data += [(20 + i, f"{'x' * 150}{'y' * 20}zebra jo2@example.org {common}") for i in range(3)]
+    data += [(100 + i, f"lists card flat {common} number {i}") for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    rows = {r["id"]: r for r in pii.find_spans(docs).collect()}
+    terms = lambda i: [t for d, t in data if d == i for t in [t[x["s"] : x["e"]] for x in rows[i]["terms"]]]
+    for i in range(3):
+        assert rows[i]["spans"][0]["k"] == pii.KINDS.index("card") and terms(i) == ["Kowalski"]
+        assert len(rows[10 + i]["spans"]) == 4 and terms(10 + i) == ["Nightingale"]
+        assert terms(20 + i) == [f"{'x' * 150}{'y' * 20}zebra"]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs, pii.find_spans(docs)).collect()}
+    assert clean[0].startswith(", flat 12, no 34, v 1.2.3.999, card [CARD]. common") and clean[10].startswith("lists : [EMAIL], [EMAIL], [EMAIL], [IP] ")

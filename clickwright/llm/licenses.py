@@ -3,7 +3,8 @@
 The automaton holds every substring of all templates.  A text is streamed through it word by word, which gives its matching
 statistics: at each word the length of the longest suffix that is a substring of some template, and the state, which
 knows where in which templates.  Matches of at least ``MIN_MATCH`` words that cannot be extended are chained: forward in both
-text and template, with a gap of at most ``MAX_GAP`` words.  A template whose chain covers enough of it gives its label.
+text and template, with a gap of at most ``MAX_GAP`` words.  A template whose chain covers enough of it gives its label.  A text
+may hold many notices: of the chains that cover enough of a template, those are reported that together cover most words without overlap.
 Phrases are templates too: all their places are read from the states (a phrase ends where its state is an ancestor of the current one).
 
 The automaton has some thousand states, fixed by the templates, and is built once per worker.  Words outside the templates reset it,
@@ -15,6 +16,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -142,7 +144,7 @@ class Scanner:
         self.least = min([MIN_MATCH, *(len(p) for p, _ in self.phrases)])
 
     def scan(self, words: list[bytes]) -> dict:
-        """places of phrases [(start, label)], spans [(label, first, end, cover)]."""
+        """places of phrases [(start, label)], spans [(label, first, end, cover)], score: the highest cover of any chain."""
         ids = list(map(self.ids.get, words))
         places: list[tuple[int, str]] = []
         matches: list[tuple[int, int, int]] = []  # start, end, state
@@ -167,30 +169,56 @@ class Scanner:
                 if before[1] >= MIN_MATCH:
                     matches.append((before[0] + 1 - before[1], before[0] + 1, before[2]))
             i = j
-        return {"places": places, "spans": self._chain(matches)}
+        chains = self._chains(matches)
+        spans = [(self.labels[k], first, end, own / self.lengths[k]) for k, found in chains.items() for first, end, own in self._apart(k, found)]
+        return {"places": places, "spans": spans, "score": max((own / self.lengths[k] for k, x in chains.items() for _, _, own in x), default=0.0)}
 
-    def _chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """The best chain of each template as (label, first word, end, share of the template)."""
-        best: dict[int, tuple[int, int, int]] = {}
+    def _chains(self, matches: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+        """The chains of each template as (first word, end, words covered), by end.
+
+        Of the chains to one place those stay that cover more words than all that start later, so at most a template's length of them.
+        """
+        chains: dict[int, list[tuple[int, int, int]]] = {}
         near: dict[int, deque] = {}
         for start, end, v in matches:
             fresh: dict[int, list] = {}
             for k, stop in self.automaton.ends[v]:
                 if k >= len(self.labels):
                     continue
-                own, first = end - start, start
-                for s2, e2, stop2, sum2, first2 in near.get(k, ()):
+                most = {start: end - start}
+                for s2, e2, stop2, before in near.get(k, ()):
                     gain = min(end - max(start, e2), stop - max(stop - (end - start), stop2))
-                    if gain > 0 and start - e2 <= MAX_GAP and sum2 + gain > own and e2 <= end and stop2 <= stop:
-                        own, first = sum2 + gain, first2
-                fresh.setdefault(k, []).append((start, end, stop, own, first))
-                best[k] = max(best.get(k, (0, 0, 0)), (own, -first, end))
+                    if gain > 0 and start - e2 <= MAX_GAP and e2 <= end and stop2 <= stop:
+                        for first, own in before:
+                            most[first] = max(most.get(first, 0), own + gain)
+                kept: list[tuple[int, int]] = []
+                for first in sorted(most, reverse=True):
+                    if not kept or most[first] > kept[-1][1]:
+                        kept.append((first, most[first]))
+                fresh.setdefault(k, []).append((start, end, stop, kept))
+                chains.setdefault(k, []).extend((first, end, own) for first, own in kept)
             for k, rows in fresh.items():
                 recent = near.setdefault(k, deque())
                 recent.extend(rows)
                 while recent and start - recent[0][1] > MAX_GAP:
                     recent.popleft()
-        return [(self.labels[k], -first, end, own / self.lengths[k]) for k, (own, first, end) in best.items()]
+        return chains
+
+    def _apart(self, k: int, chains: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Those of template k's chains that cover enough of it, without overlap and with the most words in all."""
+        enough = [x for x in chains if x[2] >= MIN_WORDS and x[2] / self.lengths[k] >= MIN_COVER]
+        ends, best = [x[1] for x in enough], [0]
+        before = [bisect_right(ends, first, 0, i) for i, (first, _, _) in enumerate(enough)]
+        for i, (_, _, own) in enumerate(enough):
+            best.append(max(best[i], best[before[i]] + own))
+        out, i = [], len(enough)
+        while i:
+            if best[i] > best[i - 1]:
+                out.append(enough[i - 1])
+                i = before[i - 1]
+            else:
+                i -= 1
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -208,7 +236,7 @@ def scan_licenses(
     templates: dict[str, str] = TEMPLATES,
     phrases: dict[str, str] = PHRASES,
 ) -> DataFrame:
-    """One row per document: doc_id, counts and places of phrases, labels, score, spans (label:first:end:cover of each label's best chain)."""
+    """One row per document: doc_id, counts and places of phrases, labels, score, spans (label:first:end:cover of each notice)."""
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     key = tuple(templates.items()), tuple(phrases.items())
@@ -222,8 +250,8 @@ def scan_licenses(
                 got = scanner.scan(words)
                 places = [p for p, _ in got["places"]]
                 base = {label for _, label in got["places"]}
-                spans = [s for s in got["spans"] if s[3] >= MIN_COVER and s[3] * scanner.lengths[scanner.labels.index(s[0])] >= MIN_WORDS]
-                score = 1.0 if base else max([0.0, *(s[3] for s in got["spans"])])
+                spans = got["spans"]
+                score = 1.0 if base else got["score"]
                 row = (
                     len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
                     ",".join(sorted(base | {s[0] for s in spans})), score, ",".join(f"{s[0]}:{s[1]}:{s[2]}:{s[3]:.3f}" for s in sorted(spans)),

@@ -200,3 +200,26 @@ def test_disclosure_between_numbers_and_in_lists(spark):
         assert terms(20 + i) == [f"{'x' * 150}{'y' * 20}zebra"]
     clean = {r.doc_id: r.text for r in pii.sanitise(docs, pii.find_spans(docs)).collect()}
     assert clean[0].startswith(", flat 12, no 34, v 1.2.3.999, card [CARD]. common") and clean[10].startswith("lists : [EMAIL], [EMAIL], [EMAIL], [IP] ")
+
+
+def test_every_notice_has_its_span(spark):
+    """Repeated notices, near each other, far apart and damaged, are all reported."""
+    mit, by = licenses.TEMPLATES["mit"].split(), licenses.TEMPLATES["cc-by"].split()
+    far = ["other"] * 100
+    broken = [w if i % 9 else "other" for i, w in enumerate(mit)]
+    one, two = by[:8] + ["x"] + by[9:], by[:6] + ["x"] + by[7:]
+    texts = [mit * 300, (mit + far) * 3, mit + far + broken + mit[:20], one + one + two + far + by, mit[:20] * 3]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    n = len(mit)
+
+    def places(i, label):
+        return [tuple(int(x) for x in s.split(":")[1:3]) for s in rows[i].spans.split(",") if s.startswith(label + ":")]
+
+    assert places(0, "mit") == [(i * n, i * n + n) for i in range(300)]
+    assert places(1, "mit") == [(i * (n + 100), i * (n + 100) + n) for i in range(3)]
+    (first, end), (first2, end2) = places(2, "mit")
+    assert (first, end) == (0, n) and n + 100 <= first2 < n + 110 and 2 * n + 90 < end2 <= 2 * n + 100
+    m = len(by)
+    assert places(3, "cc-by") == [(0, m), (m, 2 * m), (2 * m, 3 * m), (3 * m + 100, 4 * m + 100)]
+    assert rows[3].score == 1.0 and not rows[4].spans and not rows[4].labels and rows[4].score < 0.5

@@ -6,10 +6,11 @@ Full pieces are sequences of their own.  All shorter pieces are packed:
 * Pieces are dealt by hash into shards of about ``shard_items`` pieces: a subproblem of bounded size.
 * Each shard is evolved on ``islands`` islands, each with its own population.  A gene is a bin.  Crossover injects
   whole well-filled bins of one parent into the other, removes the bins that hold a duplicate, and best-fits the displaced pieces;
-  mutation empties the worst bins.  Fitness is the mean squared fill (at equal size fewer bins, and fuller ones, win).
+  mutation empties the worst bins.  Fewer bins win, and of as many the higher fitness, the mean squared fill.
 * Between epochs the best of an island moves to the next island (a shuffle of one row per island).
 * Bins filled to ``1 - slack`` are final.  Pieces of all other bins go to a smaller set of shards,
-  until one shard is left.  So the loss does not grow with the number of shards.
+  until one shard is left.  Where too few bins fill up, the fuller half of each shard's bins is final, too, so that the
+  worst ones always meet in one shard.  So the loss does not grow with the number of shards.
 
 A task holds one island: ``shard_items`` piece lengths and a few assignments, whatever the size of the input.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickwright.llm.common import settle, ship, text_of
@@ -153,7 +154,7 @@ def evolve(lengths: list[int], size: int, rng: np.random.Generator, guests: list
 
     least = -(-sum(lengths) // size)
     crowd = [seated(g) for g in guests] or [fresh(0.0)]
-    score = lambda x: fitness(x.room, size)
+    score = lambda x: (-len(x.room), fitness(x.room, size))
     if min(len(x.room) for x in crowd) > least:
         crowd += [fresh(0.1 * (i + 1) / people) for i in range(people - len(crowd))]
         crowd.sort(key=score, reverse=True)
@@ -201,8 +202,9 @@ def pack(
     full = items.where(F.col("length") >= size).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = items.where(F.col("length") < size).select("uid", F.col("length").cast("int").alias("length"))
     done, n, level = [full], left.count(), 0
+    most = n
     while n:
-        shards = -(-n // shard_items)
+        shards = min(most, -(-n // shard_items))
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(seed + level)), F.lit(shards)).cast("int"))
         rows = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("items"))
         rows = settle(rows.select("shard", F.col("items.uid").alias("uids"), F.col("items.length").alias("lengths")), "shards")
@@ -211,17 +213,21 @@ def pack(
             state = settle(state.groupBy("shard", "island").applyInPandas(_islands(size, people, generations, seed), STATE), "islands")
             moved = state.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)))
             state, last = state.unionByName(moved), state
-        best = last.groupBy("shard").agg(F.max_by("bins", F.struct("fitness", "island")).alias("bins"))
+        best = last.groupBy("shard").agg(F.max_by("bins", F.struct(-F.array_max("bins"), "fitness", "island")).alias("bins"))
         zipped = F.arrays_zip(F.col("uids").alias("uid"), F.col("lengths").alias("length"), F.col("bins").alias("bin"))
         seats = rows.join(best, "shard").select("shard", F.explode(zipped).alias("x")).select("shard", "x.uid", "x.length", "x.bin")
         bins = seats.groupBy("shard", "bin").agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("items"), F.sum("length").alias("fill"))
         bins = settle(bins.withColumn("final", (F.col("fill") >= size * (1 - slack)) | F.lit(shards == 1)), "bins")
+        remains = bins.where("not final").agg(F.sum(F.size("items"))).first()[0] or 0
+        if remains >= 0.95 * n:  # most of what is left does not fill any better: only the worse half is pooled
+            turn = Window.partitionBy("shard").orderBy("final", "fill", "bin")
+            half = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("shard", "final")) / 2)
+            bins = settle(bins.withColumn("final", F.col("final") | (F.row_number().over(turn) > half)), "bins")
         done.append(_placed(bins.where("final")))
         left = bins.where("not final").select(F.explode("items").alias("x")).select("x.uid", "x.length")
         was, n, level = n, left.count(), level + 1
-        if n and n >= 0.95 * was:  # what is left does not fill any better: it stays as it is
-            done.append(_placed(bins.where("not final")))
-            break
+        if n >= 0.95 * was:  # shards of hardly more than a bin
+            most = max(1, shards // 2)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -337,3 +337,23 @@ def test_mixing_odd(odd, repeated, empty):
         want = Counter((r.doc_id, r.text) for r in docs.collect())
         got = Counter((r.doc_id, r.text) for r in out.collect())
         assert got.keys() == want.keys() and all(want[k] <= got[k] <= 2 * want[k] for k in want)
+
+
+@pytest.mark.parametrize("length,count,shard_items", [(700, 60, 10), (50, 60, 4)])
+def test_packing_pools_the_worst_bins(spark, tmp_path, length, count, shard_items):
+    """Where no bin fills up, or a shard holds less than a bin, shards still leave no bins half empty."""
+    spark.range(count).select(F.col("id").alias("uid"), F.lit(length).cast("long").alias("length")).write.parquet(f"{tmp_path}/items")
+    got = rows(packing.pack(spark.read.parquet(f"{tmp_path}/items"), 2048, shard_items, epochs=1, people=2, generations=2))
+    assert sorted(r["uid"] for r in got) == list(range(count))
+    seats = defaultdict(list)
+    for r in got:
+        seats[r["sequence_id"]].append(r["offset"])
+    assert all(sorted(x) == [length * i for i in range(len(x))] for x in seats.values())
+    assert len(seats) == -(-count // (2048 // length))
+
+
+def test_packing_prefers_fewer_bins():
+    fewer = [i // 8 for i in range(80)]
+    fuller = [i // 10 for i in range(77)] + [8, 9, 10]
+    best = packing.evolve([1] * 80, 10, np.random.default_rng(1), [fuller, fewer], 2, 0)
+    assert len(best.room) == 10

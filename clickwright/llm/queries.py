@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickwright.llm import arrow_tokens, exact_dedup, licenses, mixing, packing, pii, quality_rules, simhash_dedup, suffix_dedup, warc_audit
+from clickwright.llm import arrow_tokens, conversations, exact_dedup, level_packing, licenses, mixing, packing, pii, quality_rules, simhash_dedup, spelling
+from clickwright.llm import suffix_dedup, warc_audit
 from clickwright.llm.common import documents, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +126,101 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = one.join(found, "ord", "left")
     damaged = F.coalesce("damaged", F.lit(False)).alias("damaged")
     return out.select(F.col("id").alias("page_id"), "ord", "file", "start", "length", F.col("hash").alias("record_sha256"), damaged)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: the unsigned crc32 of an ASCII or Latin-1 string's UTF-8 bytes, by the bits of its polynomial."""
+    code = "unicode(c)"
+    bytes_ = (
+        f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN {code} < 128 THEN [CAST({code} AS BIGINT)] "
+        f"ELSE [CAST(192 + ({code} >> 6) AS BIGINT), CAST(128 + ({code} & 63) AS BIGINT)] END))"
+    )
+    bits = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda r, i: xor(r >> 1, 3988292384 * (r & 1)), xor(h, b))"
+    return f"xor(list_reduce({bytes_}, lambda h, b: {bits}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+@register(
+    "op11_spelling_variants",
+    f"""WITH RECURSIVE t AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM
+              (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents)),
+            h AS (SELECT r, c, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r")} AS h FROM
+              (SELECT doc_id, r, count(*) AS c FROM t WHERE length(r) >= 6 GROUP BY ALL)),
+            e AS (SELECT c, CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w FROM h),
+            w AS (SELECT w, CAST(sum(c) AS BIGINT) AS n FROM e WHERE length(w) >= 6 GROUP BY w HAVING sum(c) >= 5),
+            cut AS (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS v FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM w)),
+            near AS (SELECT a.w, b.w AS f, b.n FROM cut a JOIN cut b ON a.v = b.v AND a.i = b.i AND a.w <> b.w
+              UNION SELECT a.w, b.w, b.n FROM cut a JOIN w b ON a.v = b.w
+              UNION SELECT b.w, a.w, a.n FROM cut a JOIN w b ON a.v = b.w),
+            top AS (SELECT w, count(*) AS n_near, first(f ORDER BY n DESC, f) AS f, max(n) AS f_n FROM near GROUP BY w),
+            form AS (SELECT w.w, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN f_n >= 5 * w.n THEN f END AS form, CASE WHEN f_n >= 5 * w.n THEN f_n END AS form_n
+              FROM w LEFT JOIN top ON w.w = top.w),
+            walk AS (SELECT w, w AS x, 0 AS k FROM form UNION ALL SELECT walk.w, form.form, k + 1 FROM walk JOIN form ON walk.x = form.w WHERE form.form IS NOT NULL)
+       SELECT form.w AS word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n
+       FROM form JOIN (SELECT w, arg_max(x, k) AS root FROM walk GROUP BY w) r ON form.w = r.w""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(documents(spark, sf_dir), at_least=6)
+    words = spelling.word_counts(found.select(spelling.misspelt(found, one_in=199).alias("word")), at_least=6, times=5)
+    return spelling.spelling_forms(words, ratio=5)
+
+
+def repair_sql() -> str:
+    """Least (cost, audit) over the states of ``(s?(ua)+)?``: e before anything, s, u after a user, p after a pair; as text, the cost in 12 digits first."""
+    moves = {"s": [("e", "s")], "u": [("e", "u"), ("s", "u"), ("p", "u")], "a": [("u", "p")]}
+    reach = {"e": [("e", 0), ("u", 1), ("p", 2)], "s": [("s", 0), ("u", 1), ("p", 2)], "u": [("u", 0), ("p", 1)], "p": [("p", 0), ("u", 1)]}
+
+    def way(state: str, cost: str, audit: str) -> str:
+        return f"lpad(CAST(CAST(left({state}, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({state}, 13) || '{audit}'"
+
+    ways: dict[str, list[str]] = {x: [] for x in reach}
+    for start, ends in reach.items():
+        for mid, k in ends:
+            ways[mid].append(way(f"dp.{start}", f"{2 * k + 3}", "I" * k + "D"))
+            for c, steps in moves.items():
+                for a, b in steps:
+                    if a == mid:
+                        ways[b].append(f"CASE WHEN may AND c = '{c}' THEN {way(f'dp.{start}', f'{2 * k} + cut', 'I' * k + 'K')} END")
+                        if c != "s":
+                            ways[b].append(f"CASE WHEN may AND c <> '{c}' THEN {way(f'dp.{start}', f'{2 * k + 2} + cut', 'I' * k + 'R')} END")
+    step = ", ".join(f"least({', '.join(w)}) AS {x}" for x, w in ways.items())
+    ends = [way(start, f"{2 * k}", "I" * k) for start, es in reach.items() for mid, k in es if mid in "ep"]
+    key = crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {key} % 20 AS kind FROM conversations),
+      d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+              CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+              unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM x WHERE kind <> 0),
+      o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, {white}) AS bare FROM d),
+      f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault, left(role || ' ', 1) AS c FROM o),
+      g AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS may, CAST(fault = 'truncated' AS INT) AS cut, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f),
+      n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+              count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+              count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+      dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000000' AS e, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS p FROM n
+             UNION ALL SELECT g.conv_id, g.i, {step} FROM dp JOIN g ON g.conv_id IS NOT DISTINCT FROM dp.conv_id AND g.i = dp.i + 1),
+      best AS (SELECT dp.conv_id, least({', '.join(ends)}) AS b FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i),
+      acts AS (SELECT conv_id, a, k, count(*) FILTER (a <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS i FROM
+              (SELECT conv_id, unnest(string_split(substr(b, 13), '')) AS a, unnest(range(1, length(b) - 11)) AS k FROM best WHERE length(b) > 12)),
+      kept AS (SELECT acts.conv_id, a, k, CASE WHEN a = 'I' THEN '' ELSE text END AS text, role, a = 'K' AND c = 's' AS system FROM acts
+              LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM acts.conv_id AND g.i = acts.i AND a <> 'I' WHERE a <> 'D'),
+      told AS (SELECT conv_id, k, CASE WHEN a = 'K' THEN role WHEN count(*) FILTER (NOT system) OVER (PARTITION BY conv_id ORDER BY k) % 2 = 1 THEN 'user' ELSE 'assistant' END
+              || ':' || text AS line FROM kept),
+      lines AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS t FROM told GROUP BY conv_id)
+      SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+             coalesce(illegal, 0) AS illegal, coalesce(CAST(left(b, 12) AS BIGINT), 0) AS cost, coalesce(substr(b, 13), '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+      FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id
+           LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+@register("op12_conversation_repair", repair_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.conversation_rows(documents(spark, sf_dir, "conversations"))
+    return conversations.repair_all(conversations.damaged(rows), rows)
+
+
+@register("op13_sum_of_squares_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return level_packing.place_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048, end_id=1)

@@ -3,10 +3,14 @@
 Such a tokenizer normalises white space, then splits by a pattern that never crosses it, so the ids of a text are those of its
 white-space-free parts, one after the other.  Texts are cut at spaces, tabs and line ends only: every one of these separates for
 the tokenizer, too, and no normal form composes across them.
+
+A part of Latin letters, with one punctuation mark at most behind them, is the ids of its lower-case letters and those of the mark.  Where
+every word ends in a token of its own kind (``</w>``), new ones are encoded in runs and the runs are cut at these tokens.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -17,7 +21,9 @@ import numpy as np
 MEMO = 600_000
 MEMO_CHARS = 64
 GROUP_CHARS = 4 << 20
-_SPACE = re.compile(r"[ \t\n\r]+")
+RUN = 128
+_OTHER = re.compile(r"[\t\n\r]")
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -41,20 +47,65 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.by_word = drops_white_space(json.loads(self.tok.to_str()))
+        spec = json.loads(self.tok.to_str())
+        self.by_word = drops_white_space(spec)
         self.memo: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {"": b""}
+        ends = spec["model"].get("end_of_word_suffix")
+        vocabulary = self.tok.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if ends:
+            self.last[[i for t, i in vocabulary.items() if t.endswith(ends)]] = True
+        lower = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+        self.in_runs = bool(self.by_word and ends and lower and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\"))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of each word into the memo."""
+        split = {w: m.groups() for w in words if (m := _PLAIN.fullmatch(w))} if self.in_runs else {}
+        letters = self.letters
+        lower = {w: core.lower() for w, (core, _) in split.items()}
+        new = list({*lower.values(), *(mark for _, mark in split.values())}.difference(letters))
+        runs = [new[i : i + RUN] for i in range(0, len(new), RUN)]
+        for i in range(0, len(runs), 64):
+            some = runs[i : i + 64]
+            for run, raw in zip(some, self._whole([" ".join(r) for r in some])):
+                cuts = ((np.flatnonzero(self.last[np.frombuffer(raw, self.dtype)]) + 1) * self.dtype.itemsize).tolist()
+                if len(cuts) != len(run):
+                    letters.update(zip(run, self._whole(run)))
+                else:
+                    letters.update(zip(run, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+        memo = self.memo
+        for w, (_, mark) in split.items():
+            memo[w] = letters[lower[w]] + letters[mark]
+        odd = [w for w in words if w not in split]
+        for i in range(0, len(odd), 1024):
+            memo.update(zip(odd[i : i + 1024], self._whole(odd[i : i + 1024])))
+        if len(letters) > MEMO:
+            for w in new:
+                del letters[w]
+            letters[""] = b""
+        else:
+            for w in new:
+                if len(w) > MEMO_CHARS:
+                    del letters[w]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)
-        parts = [_SPACE.split(t) for t in texts]
+        gc.disable()  # the lists of words below are large and hold no cycles
+        try:
+            return self._by_word(texts)
+        finally:
+            gc.enable()
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
+        parts = [_OTHER.sub(" ", t).split(" ") for t in texts]
         fresh = list({w for p in parts for w in p}.difference(self.memo))
         memo = self.memo
-        for i in range(0, len(fresh), 1024):
-            memo.update(zip(fresh[i : i + 1024], self._whole(fresh[i : i + 1024])))
+        self._learn(fresh)
         out = [b"".join(map(memo.__getitem__, p)) for p in parts]
         full = len(memo) > MEMO
         for w in fresh:

@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickwright.operators.distinct import count_words, distinct_counts, distinct_words, merge_words
 from clickwright.operators.joins import all_not_null, attach, null_safe_keys
 from clickwright.schema import (
     ACTIVE_PER_GRAIN, AGGREGATE_LEVEL, EXPOSE_PAIRS, EXPOSE_RATIO_DIGITS, MINUTE_BUCKETS, RELATIVE_RATIO,
@@ -148,11 +149,36 @@ def active_per_grain_specs(batch: KeyedFeatures, spec: Mapping[str, Mapping[str,
     return names
 
 
-def active_per_grain(df: DataFrame, spec: Mapping[str, Mapping[str, Sequence[str]]] = ACTIVE_PER_GRAIN) -> DataFrame:
-    """``{ids1}_{grain}__active_{ids2}__num``: distinct ``ids2`` per (ids1, grain); null counts as one value."""
-    batch = KeyedFeatures()
-    active_per_grain_specs(batch, spec)
-    return batch.apply(df)
+def active_per_grain(df: DataFrame, spec: Mapping[str, Mapping[str, Sequence[str]]] = ACTIVE_PER_GRAIN, source=None) -> DataFrame:
+    """``{ids1}_{grain}__active_{ids2}__num``: distinct ``ids2`` per (ids1, grain); null counts as one value.
+
+    Exact, by a bitmap aggregation per counted column: no row is expanded per distinct count.
+    """
+    out = df
+    for grain, per_key in spec.items():
+        for ids1, cols in per_key.items():
+            names = [f"{ids1}_{grain}__active_{c}__num" for c in cols]
+            out = attach(out, distinct_counts(source() if source else df, [ids1, grain], cols, names, source=source), [ids1, grain])
+    return out
+
+
+def active_words(df: DataFrame, spec: Mapping[str, Mapping[str, Sequence[str]]] = ACTIVE_PER_GRAIN) -> dict[str, DataFrame]:
+    """The sets behind ``active_per_grain`` as bitmap words, by feature name: what is kept of a day, to be merged with other days."""
+    return {f"{ids1}_{grain}__active_{c}__num": distinct_words(df, [ids1, grain], c) for grain, d in spec.items() for ids1, cols in d.items() for c in cols}
+
+
+def active_from_words(df: DataFrame, days: Sequence[Mapping[str, DataFrame]], spec: Mapping[str, Mapping[str, Sequence[str]]] = ACTIVE_PER_GRAIN) -> DataFrame:
+    """``active_per_grain`` for ``df`` from the words of several days, merged; the days' rows are not read again."""
+    out = df
+    for grain, per_key in spec.items():
+        for ids1, cols in per_key.items():
+            feat = None
+            for c in cols:
+                name = f"{ids1}_{grain}__active_{c}__num"
+                part = count_words(merge_words([d[name] for d in days], [ids1, grain]), [ids1, grain], name)
+                feat = part if feat is None else feat.join(part, [ids1, grain])
+            out = attach(out, feat, [ids1, grain])
+    return out
 
 
 def relative_ratio_specs(batch: KeyedFeatures, spec: Mapping[str, Sequence[str]] = RELATIVE_RATIO, digits: int = RELATIVE_RATIO_DIGITS) -> list[str]:

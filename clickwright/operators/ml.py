@@ -6,23 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
-    Bucketizer, ElementwiseProduct, IndexToString, Interaction, MinMaxScaler, Normalizer, OneHotEncoder,
-    SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
+    Bucketizer, ElementwiseProduct, Interaction, MinMaxScaler, Normalizer, OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickwright.operators.frequency_index import FrequencyIndex, FrequencyIndexModel
 
-def string_index(df: DataFrame, col: str, out: str | None = None) -> tuple[DataFrame, object]:
-    """Frequency-ordered index (ties alphabetical); unseen/null -> ``numLabels``.
-
-    The fitted label list is collected to the driver, so use it for
-    low-cardinality columns; ``label_encode`` is the scalable path for ids.
-    """
-    out = out or f"{col}Idx"
-    model = StringIndexer(inputCol=col, outputCol=out, handleInvalid="keep").fit(df)
+def string_index(df: DataFrame, col: str, out: str | None = None) -> tuple[DataFrame, FrequencyIndexModel]:
+    """Frequency-ordered index (ties by text); unseen/null -> the number of labels.  The labels are a table, not a driver list."""
+    model = FrequencyIndex(col, out).fit(df)
     return model.transform(df), model
 
 
@@ -32,18 +27,14 @@ def one_hot(df: DataFrame, index_cols: Sequence[str], drop_last: bool = True) ->
     return enc.fit(df).transform(df)
 
 
-def index_to_string(df: DataFrame, index_col: str, out: str, labels: Sequence[str] | None = None) -> DataFrame:
-    t = IndexToString(inputCol=index_col, outputCol=out)
-    if labels is not None:
-        t.setLabels(list(labels))
-    return t.transform(df)
+def index_to_string(df: DataFrame, index_col: str, out: str, model: FrequencyIndexModel) -> DataFrame:
+    """The text behind each index, by a join with the model's table."""
+    return model.decode(df, index_col, out)
 
 
 def ml_pipeline(df: DataFrame, cols: Sequence[str], keep_index: bool = False) -> DataFrame:
-    """StringIndexer + OneHotEncoder per column in one ``Pipeline``; raw and (unless ``keep_index``) index columns dropped.
-
-    As with ``string_index``, a column's label list goes through the driver: for columns of few values."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}Idx", handleInvalid="keep") for c in cols]
+    """Frequency index + OneHotEncoder per column in one ``Pipeline``; raw and (unless ``keep_index``) index columns dropped."""
+    idx = [FrequencyIndex(c) for c in cols]
     oh = [OneHotEncoder(inputCols=[f"{c}Idx"], outputCols=[f"{c}Idx_OneHot"]) for c in cols]
     out = Pipeline(stages=idx + oh).fit(df).transform(df)
     return out.drop(*cols, *([] if keep_index else [f"{c}Idx" for c in cols]))

@@ -11,6 +11,7 @@ from clickwright.operators import aggregate as ag
 from clickwright.operators import clean as cl
 from clickwright.operators import columns as co
 from clickwright.operators import joins as jn
+from clickwright.operators import listing as li
 from clickwright.plans.catalog import log, register, scan, with_clicklog
 from clickwright.session import scratch_path
 from clickwright.sources import files as fs
@@ -356,6 +357,38 @@ def q_collect_set(spark, sf_dir):
     return g.select("day", F.array_join("hour_set", ",").alias("hour_set"))
 
 
+CHUNK = 64
+
+
+@register(
+    "group_string_join",
+    with_clicklog(
+        "SELECT user_id, chunk, count(*) AS n, string_agg(CAST(context_timestamp AS VARCHAR), ';' ORDER BY pos) AS user_time_join, "
+        f"string_agg(CAST(CASE WHEN pos % {CHUNK} = 0 THEN context_timestamp ELSE context_timestamp - before END AS VARCHAR), ';' ORDER BY pos) AS deltas FROM "
+        f"(SELECT *, CAST(pos // {CHUNK} AS BIGINT) AS chunk FROM (SELECT user_id, context_timestamp, row_number() OVER w - 1 AS pos, lag(context_timestamp) OVER w AS before "
+        "FROM clicklog WHERE user_id IS NOT NULL AND context_timestamp IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY context_timestamp, instance_id))) "
+        "GROUP BY user_id, chunk",
+    ),
+)
+def q_string_join(spark, sf_dir):
+    df = scan(spark, sf_dir, "instance_id", "user_id", "context_timestamp")
+    return li.group_string_join(df, ["user_id"], "context_timestamp", size=CHUNK, out="user_time_join")
+
+
+@register(
+    "group_string_join_read",
+    with_clicklog(
+        "SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id, item_id ORDER BY context_timestamp) - 1 AS BIGINT) AS position, context_timestamp FROM clicklog "
+        "WHERE user_id IS NOT NULL AND item_id IS NOT NULL AND context_timestamp IS NOT NULL"
+    ),
+)
+def q_string_join_read(spark, sf_dir):
+    """The lists of (user, item), read back from their delta-coded chunks."""
+    df = scan(spark, sf_dir, "instance_id", "user_id", "item_id", "context_timestamp")
+    chunks = li.group_string_join(df, ["user_id", "item_id"], "context_timestamp", size=CHUNK)
+    return li.read_string_join(chunks, ["user_id", "item_id"], "context_timestamp", size=CHUNK)
+
+
 @register("value_counts", with_clicklog("SELECT item_sales_level, count(*) AS count FROM clicklog WHERE item_sales_level IS NOT NULL GROUP BY 1"))
 def q_value_counts(spark, sf_dir):
     return ag.value_counts(scan(spark, sf_dir, "item_sales_level"), "item_sales_level")

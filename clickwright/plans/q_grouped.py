@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from clickwright.operators import grouped as gr
-from clickwright.plans.catalog import log, register, with_clicklog
+from clickwright.operators.selection import exact_quantile
+from clickwright.plans.catalog import log, register, scan, with_clicklog
+from clickwright.plans.ordered import fresh_source, materialize
 from clickwright.schema import (
     ACTIVE_PER_GRAIN, AGGREGATE_LEVEL, EXPOSE_PAIRS, MINUTE_BUCKETS, RELATIVE_RATIO,
 )
@@ -69,7 +73,34 @@ def active_sql():
 
 @register("active_per_grain", active_sql())
 def q_active(spark, sf_dir):
-    return gr.active_per_grain(log(spark, sf_dir)).select("instance_id", *ACTIVE_COLS)
+    df = log(spark, sf_dir)
+    return gr.active_per_grain(df, source=fresh_source(df)).select("instance_id", *ACTIVE_COLS)
+
+
+@register("active_per_grain_merged", active_sql())
+def q_active_merged(spark, sf_dir):
+    """The same features from the written bitmap words of two spans of days, merged."""
+    df = log(spark, sf_dir)
+    fresh = fresh_source(df)
+    spans = [F.coalesce(F.col("day") <= 22, F.lit(True)), F.col("day") > 22]
+    kept = [{n: materialize(w, "active-words") for n, w in gr.active_words(fresh().where(s)).items()} for s in spans]
+    return gr.active_from_words(df, kept).select("instance_id", *ACTIVE_COLS)
+
+
+MEDIANS = [("user_id", "context_timestamp"), ("shop_id", "shop_score_service")]
+
+
+@register(
+    "group_median",
+    with_clicklog(" UNION ALL ".join(
+        f"SELECT '{k}' AS key_name, {k} AS key, round_even(CAST(median({c}) AS DOUBLE), 6) AS median FROM clicklog WHERE {c} IS NOT NULL GROUP BY {k}"
+        for k, c in MEDIANS)),
+)
+def q_group_median(spark, sf_dir):
+    """Exact medians per key by distributed selection."""
+    parts = [exact_quantile(scan(spark, sf_dir, k, c), [k], c).select(F.lit(k).alias("key_name"), F.col(k).alias("key"), F.bround(f"median_{c}", 6).alias("median"))
+             for k, c in MEDIANS]
+    return parts[0].unionByName(parts[1])
 
 
 def rel_sql_cols():

@@ -5,21 +5,22 @@ text between the matches and ``regexp_extract_all`` the matches, so positions ar
 the plain ones, written so that Java's matcher needs linear time and no recursion: a match can only start where the run of
 its first character class starts (or where the last match ended), and repeats are possessive.
 
-Method: a term is a word in a document that mentions a protected entity (an address, number ...), at any distance.  Over all documents,
-with the number of documents N, df(c) of the entity, df(t) of the term and df(t, c) of both in one document,
+Method: a term is a word in a text that mentions a protected entity (an address, number ...), at any distance.  Copies of a text are no further
+evidence, so everything is counted over distinct texts: over all of them, with their number N, df(c) of the entity, df(t) of the term and
+df(t, c) of both in one text,
 
     disclosure(t, c) = PMI(t; c) / IC(c),  PMI = log2(N df(t, c) / (df(t) df(c))),  IC = log2(N / df(c)),
 
 is the share of the entity's information that the term gives away (1: the term occurs with the entity only).  A pair counts as
-evidence from ``min_support`` documents on.  Terms with disclosure from ``generalise_at`` on are generalised (initial letter), from
-``remove_at`` on removed, at all their places in each document that mentions the entity; the entities themselves are replaced by their kind.
+evidence from ``min_support`` texts on.  Terms with disclosure from ``generalise_at`` on are generalised (initial letter), from
+``remove_at`` on removed, at all their places in each text that mentions the entity, in all copies alike; the entities themselves are replaced by their kind.
 
-Three exact steps keep the pairs few.  Entities and terms of fewer than ``min_support`` documents make no pair.  As df(t, c) <= df(c), disclosure g
-needs df(t) <= N^(1 - g) df(c)^g, so frequent words meet frequent entities only.  And entities (terms) of the same documents have
-the same counts, so they are paired as one class: copies of a long list cost one pair, not the square of the list.
-Counts are partial aggregates over all documents; hot terms and entities meet as one row per task.
+Three exact steps keep the pairs few.  Entities and terms of fewer than ``min_support`` texts make no pair.  As df(t, c) <= df(c), disclosure g
+needs df(t) <= N^(1 - g) df(c)^g, so frequent words meet frequent entities only.  And entities (terms) of the same texts have
+the same counts, so they are paired as one class.  Texts are brought together by a map-side aggregate, so a text of a third of all rows is one
+row per task; counts are partial aggregates over all texts; hot terms and entities meet as one row per task.
 
-Defined results: a null text is empty and has no spans.  Repeated rows count as documents.  Null ids and extra columns pass.  An empty
+Defined results: a null text is empty and has no spans.  Repeated rows have the same result and count once.  Null ids and extra columns pass.  An empty
 table gives an empty result.  Terms that overlap a base span are not reported.
 """
 
@@ -120,8 +121,8 @@ def base_spans(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """The distinct words of four letters and more, lower-cased one by one as terms are."""
-    return F.array_distinct(F.transform(F.filter(F.array_distinct(F.split(text, r"\P{L}+")), lambda w: F.length(w) >= 4), F.lower))
+    """The distinct words that may be terms, lower-cased one by one as terms are."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
 def _classes(rows: DataFrame, name: str, count: str, least: int) -> DataFrame:
@@ -154,9 +155,10 @@ def find_spans(
 ) -> DataFrame:
     """One row per document: id, text_hash, spans (base), terms: array<struct<s, e, remove>> sorted, without overlaps with base spans."""
     text = text_of(docs, text_col)
-    base = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("spans"))
+    texts = docs.select(F.xxhash64(text).alias("uid"), text.alias("text")).groupBy("uid").agg(F.first("text").alias("text"))
+    base = texts.select("uid", "text", base_spans(F.col("text")).alias("spans"), _words(F.col("text")).alias("words"))
     base = base.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))  # later passes need no other texts
-    base = settle(base.withColumn("uid", F.monotonically_increasing_id()), "pii-base")
+    base = settle(base, "pii-base")
     n_docs = float(max(base.count(), 1))
     at_most = lambda df_c: F.pow(F.lit(n_docs), F.lit(1 - generalise_at)) * F.pow(df_c, F.lit(generalise_at)) * (1 + 1e-9)
 
@@ -164,7 +166,7 @@ def find_spans(
     entities = mentions.join(_classes(mentions, "c", "df_c", min_support), "c").select("uid", F.col("class").alias("c"), "df_c").distinct()
     entities = settle(entities, "pii-entities")
     top = F.lit(float(entities.agg(F.max("df_c")).first()[0] or 1))
-    of_term = docs.select(F.explode(_words(text)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df_t"))
+    of_term = base.select(F.explode("words").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df_t"))
     of_term = settle(of_term.where((F.col("df_t") >= min_support) & (F.col("df_t") <= at_most(top))), "pii-words")
 
     shown = base.join(entities.select("uid").distinct(), "uid", "left_semi")
@@ -186,7 +188,9 @@ def find_spans(
     mails = F.filter("spans", lambda b: b["k"] == KINDS.index("email"))  # no other kind has letters
     none = F.array().cast("array<struct<s:int,e:int,remove:boolean>>")
     found = F.when(F.col("terms").isNull(), none).otherwise(let(mails, lambda m: F.filter("terms", lambda x: _apart(x, m))))
-    return base.drop("text").join(hits, "uid", "left").select("id", "text_hash", "spans", found.alias("terms"))
+    marked = base.select("uid", "spans").join(hits, "uid", "left").select(F.col("uid").alias("text_hash"), "spans", found.alias("terms"))
+    marked = settle(marked, "pii-marked")  # its size is known to the join below, which splits the rows of hot texts
+    return docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("text_hash")).join(marked, "text_hash").select("id", "text_hash", "spans", "terms")
 
 
 def digest_columns(found: DataFrame) -> list[Column]:
@@ -220,7 +224,8 @@ def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
         named(F.col("id")).alias("_pii_id"), F.col("text_hash").alias("_pii_hash"), F.sort_array(F.concat(base, terms)).alias("_pii_edits")
     )
     edits = edits.dropDuplicates(["_pii_id", "_pii_hash"])
-    rows = docs.withColumns({"_pii_id": named(docs[id_col]), "_pii_text": text_of(docs, text_col), "_pii_hash": F.xxhash64(text_of(docs, text_col))})
+    # the columns of docs travel in one struct, so none of them can clash with those made here
+    rows = docs.select(F.struct(*docs.columns).alias("_pii_row"), named(docs[id_col]).alias("_pii_id"), text_of(docs, text_col).alias("_pii_text"), F.xxhash64(text_of(docs, text_col)).alias("_pii_hash"))
     rows = rows.join(edits, ["_pii_id", "_pii_hash"], "left")
     clean = F.when(F.col("_pii_edits").isNull(), F.col("_pii_text")).otherwise(F.aggregate("_pii_edits", start, step, done))
-    return rows.select(*[clean.alias(c) if c == text_col else rows[c] for c in docs.columns])
+    return rows.select(*[clean.alias(c) if c == text_col else F.col("_pii_row").getField(c).alias(c) for c in docs.columns])

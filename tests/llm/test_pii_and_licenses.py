@@ -129,7 +129,7 @@ def test_license_odd(repeated, empty):
 def test_disclosure_anywhere(spark):
     """A telling word far from the mention is found, at all its places, in documents that mention the entity only."""
     gap = "common words here and more of them again " * 12
-    data = [(i, f"Zanzibar office. {gap} jo@example.org {gap} the zanzibar, or ZANZIBAR. {gap}") for i in range(4)]
+    data = [(i, f"Zanzibar office. {gap} jo@example.org {gap} the zanzibar, or ZANZIBAR. {gap} {i}") for i in range(4)]
     data += [(4, f"{gap} zanzibar {gap}"), *((10 + i, f"{gap} number {i}") for i in range(400))]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     out = pii.find_spans(docs, generalise_at=0.8, remove_at=0.99)
@@ -159,21 +159,21 @@ def test_disclosure_random(spark):
         parts = own + said
         rng.shuffle(parts)
         texts.append(" ".join(parts))
-    texts += texts[:3]  # repeated rows are documents
+    texts += texts[:3] * 3  # copies are no evidence, but marked alike
     term = re.compile(r"(?<![^\W_@.%+-])[a-z]{4,}(?!\.?[\w@%+-])")
     mails = [{m[0]: m.span() for m in re.finditer(brute.PERSONAL["email"], t)} for t in texts]
     found = [[m for m in term.finditer(t) if t[m.start() - 1 : m.start()] not in list("@._%+-")] for t in texts]
     said = [{m[0] for m in f} for f in found]
-    every = [set(re.split(r"[^a-z]+", t)) for t in texts]
-    n = len(texts)
+    once = [texts.index(t) == d for d, t in enumerate(texts)]
+    n = sum(once)
     want = []
     for d, t in enumerate(texts):
         marks = []
         for m in found[d]:
             best = -9.0
             for c in mails[d]:
-                df_c, df_t = sum(c in x for x in mails), sum(m[0] in x for x in every)
-                both = sum(c in x and m[0] in y for x, y in zip(mails, said))
+                df_c, df_t = sum(c in x for x, o in zip(mails, once) if o), sum(m[0] in y for y, o in zip(said, once) if o)
+                both = sum(c in x and m[0] in y for x, y, o in zip(mails, said, once) if o)
                 if both >= 2 and df_c < n:
                     best = max(best, math.log2(both * n / (df_t * df_c)) / math.log2(n / df_c))
             if best >= 0.5 and not any(s < m.end() and m.start() < e for s, e in (x.span() for x in re.finditer(brute.PERSONAL["email"], t))):
@@ -181,7 +181,27 @@ def test_disclosure_random(spark):
         want.append(marks)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["id"]: [tuple(t) for t in r["terms"]] for r in pii.find_spans(docs, generalise_at=0.5, remove_at=0.9).collect()}
-    assert [got[d] for d in range(n)] == want and sum(map(len, want)) > 40
+    assert [got[d] for d in range(len(texts))] == want and sum(map(len, want)) > 40
+
+
+def test_copies_are_no_evidence(spark, small_dir):
+    """Doubling a table changes no span; a document and its copies reveal nothing; one address with one name in different texts does."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(9000 + i, "Quixotic words of one only document jo@one.example and more") for i in range(30)]
+    rows += [(9100 + i, f"Xylophonist number {chr(97 + i) * 5} writes to mail@two.example in text {chr(98 + i) * 6}") for i in range(3)]
+    schema = "doc_id long, text string"
+    spans = lambda data: {r["id"]: (r["spans"], r["terms"]) for r in pii.find_spans(spark.createDataFrame(data, schema).repartition(3)).collect()}
+    one, two = spans(rows), spans(rows + [(20_000 + i, t) for i, t in rows])
+    assert {i: s for i, s in two.items() if i < 20_000} == one and {i - 20_000: s for i, s in two.items() if i >= 20_000} == one
+    assert not any(one[9000 + i][1] for i in range(30))
+    assert [rows[-3][1][t["s"] : t["e"]] for t in one[9100][1]] == ["Xylophonist", "number", "writes", "text"]  # all only here, not the words of one text
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    names = ["_pii_id", "_pii_text", "_pii_hash", "_pii_edits", "_pii_row", "spans", "terms", "uid"]
+    docs = spark.createDataFrame([(1, "mail a@b.cd", *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = {r.doc_id: r for r in pii.sanitise(docs, pii.find_spans(docs)).collect()}
+    assert out[1].text == "mail [EMAIL]" and all(out[i][n] == n for i in (1, 2) for n in names)
 
 
 def test_disclosure_between_numbers_and_in_lists(spark):

@@ -140,3 +140,12 @@ def test_packed_order_equals_struct_order(spark):
         assert keyed.orderBy("p").select(*columns).collect() == keyed.orderBy("s").select(*columns).collect()
         assert keyed.where(~packed.last(F.col("p")).eqNullSafe(F.col(columns[-1]))).count() == 0
     assert not RowOrder(["id", "other"], "ts").packed
+
+
+def test_folds_of_many_classes(spark):
+    """More labels than fit into literals are dealt as evenly."""
+    from clickwright.operators import split as sp
+
+    df = spark.range(6600).select(F.col("id").alias("instance_id"), F.when(F.col("id") % 1101 > 0, F.col("id") % 1101).alias("is_trade"))
+    got = sp.stratified_folds(df, 3).groupBy("is_trade").agg(F.count("*").alias("n"), F.collect_list("fold").alias("f")).collect()
+    assert len(got) == 1101 and all({r.f.count(k) for k in range(3)} <= {r.n // 3, -(-r.n // 3)} for r in got)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickwright.llm.common import settle, text_of
+from clickwright.llm.common import settle, sheltered, text_of
 
 _TEXT = ["digest", "check", "n_bytes"]
 
@@ -83,11 +83,12 @@ def keep_one_per_text(
     kept = exact_groups(docs, id_col, text_col, keep, runs, fan_in).where("kept")
     named = F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.lit("null"))
     kept = settle(kept.select(named.alias("_dedup_id"), F.col("digest").alias("_dedup_digest")), "digest-kept")
-    rows = docs.withColumns(
+    packed, back = sheltered(docs, id_col, text_col)
+    rows = packed.withColumns(
         {
-            "_dedup_id": F.coalesce(F.concat(F.lit("i"), docs[id_col].cast("string")), F.lit("null")),
-            "_dedup_digest": F.unhex(F.sha2(text_of(docs, text_col), 256)),
+            "_dedup_id": F.coalesce(F.concat(F.lit("i"), packed[id_col].cast("string")), F.lit("null")),
+            "_dedup_digest": F.unhex(F.sha2(text_of(packed, text_col), 256)),
         }
     ).join(kept, ["_dedup_id", "_dedup_digest"])
     again = Window.partitionBy("_dedup_id", "_dedup_digest").orderBy("_dedup_id")
-    return rows.withColumn("_dedup_n", F.row_number().over(again)).where("_dedup_n = 1").select(*docs.columns)
+    return back(rows.withColumn("_dedup_n", F.row_number().over(again)).where("_dedup_n = 1"))

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickwright.llm.common import WHITE, settle, text_of
+from clickwright.llm.common import WHITE, settle, sheltered, text_of
 
 MAX_BLOCKS = 65_536
 SECTIONS = 16
@@ -175,6 +175,7 @@ def in_order(emitted: DataFrame, mix: Mix, seed: int = 7) -> DataFrame:
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` (all columns), each as often as the mix emits it.  The plan is small; the text is not shuffled for it."""
-    rows = measured(docs, id_col, source_col, text_col)
+    packed, back = sheltered(docs, id_col, source_col, text_col)
+    rows = measured(packed, id_col, source_col, text_col)
     slim = settle(rows.select("_mix_source", "_mix_tokens", "_mix_hash"), "mix-rows")
-    return emit(rows, plan_mix(slim, **how)).select(*docs.columns)
+    return back(emit(rows, plan_mix(slim, **how)))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickwright.llm.common import WHITE, let, settle, text_of
+from clickwright.llm.common import WHITE, let, settle, sheltered, text_of
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -194,5 +194,6 @@ def judge(rows: DataFrame, cutoffs: DataFrame, prefix: str = "") -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum_col: str | None = "lang", **fit) -> DataFrame:
     """The rows of ``docs`` that pass.  Counts are taken once, beside the text, so no text is shuffled."""
     p = "_quality_"
-    rows = settle(with_features(docs, text_col, stratum_col, p), "quality-rows")
-    return judge(rows, fit_cutoffs(rows, labels, prefix=p, **fit), p).where(f"{p}kept").select(*docs.columns)
+    packed, back = sheltered(docs, fit.get("id_col", "doc_id"), text_col, stratum_col)
+    rows = settle(with_features(packed, text_col, stratum_col, p), "quality-rows")
+    return back(judge(rows, fit_cutoffs(rows, labels, prefix=p, **fit), p).where(f"{p}kept"))

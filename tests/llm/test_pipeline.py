@@ -79,3 +79,20 @@ def test_run(spark, small_dir, stages):
     out = corpus_pipeline.run(spark, small_dir)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert Counter(out.select(*names).collect()) == Counter(stages[5].select(*names).collect())
+
+
+def test_stages_keep_columns_of_any_name(spark, small_dir):
+    """Strings under the names that the operators use on the way come back as they were."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").limit(60)
+    names = ["_mix_source", "_mix_tokens", "_mix_hash", "_mix_block", "_mix_pass", "_mix_copies", "_dedup_id", "_dedup_digest", "_dedup_n", "_near_id", "_near_text",
+             "_near_n", "_quality_n_words", "_quality_kept", "_quality_stratum", "_quality_cutoffs", "_sheltered", "_none", "fp", "id", "uid", "digest", "component"]
+    plain = {r.doc_id for r in docs.collect()}
+    rows = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, small_dir)
+        assert out.columns == rows.columns
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+        assert {r.doc_id for r in got} <= plain

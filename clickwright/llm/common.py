@@ -42,8 +42,8 @@ def sheltered(docs: DataFrame, *needed: str | None) -> tuple[DataFrame, Callable
     """``docs`` with the needed columns and all others in one struct, so that no name among them can clash with a column
     made on the way; and the function that brings the columns of ``docs`` back."""
     used = [c for c in docs.columns if c in needed]
-    others = [docs[f"`{c}`"] for c in docs.columns if c not in needed]
-    packed = docs.select(*used, F.struct(*others, F.lit(None).cast("int").alias("_none")).alias("_sheltered"))
+    others = [docs[f"`{c}`"] for c in docs.columns if c not in needed] or [F.lit(None).cast("int").alias("none")]
+    packed = docs.select(*used, F.struct(*others).alias("_sheltered"))
     return packed, lambda df: df.select(*[df[c] if c in needed else df["_sheltered"].getField(c).alias(c) for c in docs.columns])
 
 

@@ -1,13 +1,14 @@
 """Exact deduplication: tree merge of sorted digest runs.
 
-Every row becomes ``(digest, check, bytes, id)`` and belongs to one of ``runs`` runs.  A run keeps
-one entry per text: its best identifier and its row count.  Runs then merge in binomial rounds:
-in each round the entries of ``fan_in`` neighbouring runs meet, are merged in digest order, and
-only the verified best identifier survives.  After log(runs) / log(fan_in) rounds one
-run, spread over all partitions, holds one entry per distinct text.  The way back goes over the
+Every row becomes ``(digest, check, bytes, id, seq)`` and belongs to one of ``runs`` runs; ``seq`` is its number in the written table.  Each
+task sorts its rows by run and digest and sends one entry per text: best identifier and row count.  Runs then merge in binomial rounds: a round
+brings the entries of ``fan_in`` neighbouring runs together, one prefix range of the digests at a time, sorts them there and walks
+them in order, so that of equal neighbours only the verified best identifier survives.  After log(runs) / log(fan_in) rounds one
+run, sorted in each of its prefix ranges, holds one entry per distinct text.  The way back goes over the
 entries of the first level, so a text that fills a third of the table is joined as at most ``runs`` entries
 and never as one group of rows.
 
+The best identifier is the maximum of a struct, which Spark can only aggregate over sorted rows (a plan test holds it to that).
 Two texts are the same only if their SHA-256, a second 64-bit hash and their byte lengths agree.
 
 Defined results: a null text is the empty text.  Null ids never win against another id.  Among
@@ -34,23 +35,29 @@ def _digests(text: Column) -> list[Column]:
 
 
 def digest_rows(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One written row per document: id, digests, and the run that it starts in."""
-    spread = F.coalesce(F.xxhash64(docs[id_col].cast("string"), F.xxhash64(text_of(docs, text_col))), F.lit(0))
-    rows = docs.select(docs[id_col].alias("id"), *_digests(text_of(docs, text_col)), F.pmod(spread, F.lit(runs)).cast("int").alias("run"))
-    return settle(rows, "digest-rows")
+    """One written row per document: id, digests, its number, and the run that it starts in (rows of any id and text are spread over all)."""
+    rows = docs.select(docs[id_col].alias("id"), *_digests(text_of(docs, text_col)), F.monotonically_increasing_id().alias("seq"))
+    return settle(rows.withColumn("run", F.pmod(F.xxhash64("seq"), F.lit(runs)).cast("int")), "digest-rows")
 
 
-def merge_runs(level: DataFrame, runs: int, fan_in: int, best) -> DataFrame:
-    """Merge sorted runs round by round until one run is left."""
+def _rank(keep: str) -> Column:
+    """What the aggregate compares: a null id is worse than any other; among rows of one id the number decides."""
+    there = F.col("id").isNotNull() if keep == "largest" else F.col("id").isNull()
+    return F.struct(there.alias("there"), "id", "seq")
+
+
+def merge_runs(level: DataFrame, runs: int, fan_in: int, keep: str) -> DataFrame:
+    """Merge runs of (run, prefix, digests, best, size) round by round until one is left."""
+    best = {"largest": F.max, "smallest": F.min}[keep]
     while runs > 1:
         level = (
             level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .groupBy("run", *_TEXT)
-            .agg(best("keep_id").alias("keep_id"), F.sum("size").alias("size"))
-            .sortWithinPartitions("run", *_TEXT)
+            .repartition("run", "prefix")
+            .groupBy("run", "prefix", *_TEXT)
+            .agg(best("best").alias("best"), F.sum("size").alias("size"))
         )
         runs = -(-runs // fan_in)
-    return level.drop("run")
+    return level.drop("run", "prefix")
 
 
 def exact_groups(
@@ -62,18 +69,13 @@ def exact_groups(
     """
     best = {"largest": F.max, "smallest": F.min}[keep]
     rows = digest_rows(docs, runs, id_col, text_col)
-    first = settle(
-        rows.groupBy("run", *_TEXT).agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("size")).sortWithinPartitions("run", *_TEXT),
-        "digest-runs",
-    )
-    merged = merge_runs(first, runs, fan_in, best).withColumnRenamed("size", "group_size")
-    entries = first.select("run", *_TEXT).join(merged, _TEXT)
-    same_row = Window.partitionBy("run", *_TEXT, "id").orderBy("id")
-    return (
-        rows.join(entries, ["run", *_TEXT])
-        .withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(same_row) == 1))
-        .select("id", "keep_id", "group_size", "kept", "digest", "n_bytes")
-    )
+    entries = rows.withColumns({"prefix": F.substring("digest", 1, 2), "best": _rank(keep)}).groupBy("run", "prefix", *_TEXT)
+    first = settle(entries.agg(best("best").alias("best"), F.count(F.lit(1)).alias("size")), "digest-runs")
+    merged = merge_runs(first, runs, fan_in, keep)
+    merged = merged.select(*_TEXT, F.col("best.id").alias("keep_id"), F.col("best.seq").alias("keep_seq"), F.col("size").alias("group_size"))
+    back = first.select("run", *_TEXT).join(merged, _TEXT)
+    out = rows.join(back, ["run", *_TEXT])
+    return out.select("id", "keep_id", "group_size", (F.col("seq") == F.col("keep_seq")).alias("kept"), "digest", "n_bytes")
 
 
 def keep_one_per_text(

@@ -45,6 +45,31 @@ def test_exact_repeats_and_empty(repeated, empty):
     assert exact_dedup.keep_one_per_text(empty).count() == 0 == exact_dedup.exact_groups(empty).count()
 
 
+def test_runs_are_sorted_and_merged(spark, small):
+    """Every round brings a prefix range of some runs together, sorts it and aggregates in order; nothing is hashed."""
+    digests = exact_dedup._digests(small["text"])
+    run = (small["doc_id"] % 64).cast("int").alias("run")
+    level = small.select(*digests, run, exact_dedup.F.struct("doc_id").alias("best"), exact_dedup.F.lit(1).alias("size"))
+    level = level.withColumn("prefix", exact_dedup.F.substring("digest", 1, 2))
+    plan = exact_dedup.merge_runs(level, 64, 8, "largest")._jdf.queryExecution().executedPlan().toString().split("+- ")
+    kinds = [step.split("(")[0].split(" ")[0].strip() for step in plan]
+    assert kinds.count("SortAggregate") == 4 and kinds.count("Sort") == kinds.count("Exchange") == 2 and "HashAggregate" not in " ".join(plan)
+    assert all("hashpartitioning(run#" in step and "prefix#" in step for step in plan if step.startswith("Exchange"))
+    assert all("[run#" in step and "digest#" in step for step in plan if step.startswith("Sort "))
+
+
+def test_exact_hot_null_ids(spark):
+    """A text of rows without ids, or of one id, is spread over the runs; one row of it stays."""
+    docs = spark.createDataFrame([(None, "hot")] * 3000 + [(7, "same")] * 3000 + [(8, "own")], "doc_id long, text string").repartition(4)
+    assert exact_dedup.digest_rows(docs, 16).where("id is null").select("run").distinct().count() == 16
+    for keep in ("largest", "smallest"):
+        got = Counter((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows(exact_dedup.exact_groups(docs, keep=keep, runs=16, fan_in=4)))
+        want = {(None, None, 3000, True): 1, (None, None, 3000, False): 2999, (7, 7, 3000, True): 1, (7, 7, 3000, False): 2999, (8, 8, 1, True): 1}
+        assert got == want
+    mixed = spark.createDataFrame([(None, "t"), (3, "t"), (9, "t")], "doc_id long, text string")
+    assert {keep: {r["keep_id"] for r in rows(exact_dedup.exact_groups(mixed, keep=keep))} for keep in ("largest", "smallest")} == {"largest": {9}, "smallest": {3}}
+
+
 def test_quality_counts(small, odd):
     for docs in (small, odd):
         got = {r["doc_id"]: r for r in rows(quality_rules.with_features(docs))}

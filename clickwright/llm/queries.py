@@ -105,27 +105,39 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                    || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10)
                    || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM pages),
             o AS (SELECT page_id, rec, row_number() OVER (ORDER BY page_id) - 1 AS ord FROM r),
-            f AS (SELECT *, ord // 4096 AS file, octet_length(encode(rec)) AS n FROM o)
-       SELECT page_id, CAST(ord AS BIGINT) AS ord, CAST(file AS BIGINT) AS file,
-              CAST(coalesce(sum(n) OVER (PARTITION BY file ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-              CAST(n AS BIGINT) AS length, sha256(rec) AS record_sha256, page_id % 97 = 13 AS damaged
-       FROM f""",
+            f AS (SELECT page_id, rec, ord, ord // 4096 AS file, octet_length(encode(rec)) AS n FROM o),
+            p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY file ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM f),
+            two AS (SELECT CASE page_id % 89 WHEN 4 THEN page_id + 1 WHEN 5 THEN page_id - 1 ELSE page_id END AS id,
+                      CASE WHEN page_id % 97 = 13 THEN 'w' || substr(rec, 2) ELSE rec END AS rec FROM r WHERE page_id % 101 <> 7
+                    UNION ALL SELECT -1 - page_id, rec FROM r WHERE page_id % 103 = 5),
+            e AS (SELECT id, rec, octet_length(encode(rec)) AS n,
+                    (SELECT 4096 * ((count(*) + 4095) // 4096) FROM r) + row_number() OVER (ORDER BY id) - 1 AS ord FROM two WHERE id NOT IN (SELECT page_id FROM r)),
+            x AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY ord // 4096 ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e)
+       SELECT page_id, CAST(ord AS BIGINT) AS ord, CAST(file AS BIGINT) AS file, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS length,
+              sha256(p.rec) AS record_sha256, CASE WHEN two.id IS NULL THEN 'lost' WHEN two.rec <> p.rec THEN 'damaged' ELSE 'same' END AS status
+       FROM p LEFT JOIN two ON two.id = p.page_id
+       UNION ALL SELECT id, CAST(ord AS BIGINT), CAST(ord // 4096 AS BIGINT), CAST(start AS BIGINT), CAST(n AS BIGINT), sha256(rec), 'extra' FROM x""",
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of all pages with their places, and whether the audit against a second replica finds them damaged.
+    """Records of all pages with their places, and what the audit finds of them in a second replica.
 
-    The second replica is the first one with a flipped byte in the records of every 97th page.
+    The second replica flips a byte in the record of every 97th page, lacks every 101st, has two of every 89 under each other's
+    id and a copy of every 103rd under a new one.
     """
     pages = documents(spark, sf_dir, "pages")
-    record = warc_audit.warc_record(F.col("url"), F.col("html"), F.col("page_id"))
-    good = pages.select("page_id", record.alias("record"))
+    page = F.col("page_id")
+    good = pages.select(page, warc_audit.warc_record(F.col("url"), F.col("html"), page).alias("record"))
     flipped = F.concat(F.lit(b"w"), F.substring("record", F.lit(2), F.octet_length("record")))
-    bad = good.select("page_id", F.when(F.col("page_id") % 97 == 13, flipped).otherwise(F.col("record")).alias("record"))
-    one, two = warc_audit.leaves(good), warc_audit.leaves(bad)
-    found = warc_audit.audit(warc_audit.merkle_tree(one), warc_audit.merkle_tree(two)).select("ord", F.lit(True).alias("damaged"))
-    out = one.join(found, "ord", "left")
-    damaged = F.coalesce("damaged", F.lit(False)).alias("damaged")
-    return out.select(F.col("id").alias("page_id"), "ord", "file", "start", "length", F.col("hash").alias("record_sha256"), damaged)
+    swapped = F.when(page % 89 == 4, page + 1).when(page % 89 == 5, page - 1).otherwise(page)
+    other = good.where(page % 101 != 7).select(swapped.alias("page_id"), F.when(page % 97 == 13, flipped).otherwise(F.col("record")).alias("record"))
+    other = other.unionByName(good.where(page % 103 == 5).select((-1 - page).alias("page_id"), "record"))
+    one = warc_audit.leaves(good)
+    two = warc_audit.placed(other, one)
+    found = warc_audit.audit(warc_audit.merkle_tree(one), warc_audit.merkle_tree(two))
+    found = found.select("ord", F.when(F.col("hash_two").isNull(), "lost").when(F.col("hash_one").isNull(), "extra").otherwise("damaged").alias("status"))
+    known = one.join(found, "ord", "left").withColumn("status", F.coalesce("status", F.lit("same")))
+    out = known.unionByName(two.join(found.where("status = 'extra'"), "ord"))
+    return out.select(F.col("id").alias("page_id"), "ord", "file", "start", "length", F.col("hash").alias("record_sha256"), "status")
 
 
 def crc32_sql(text: str) -> str:

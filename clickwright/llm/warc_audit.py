@@ -5,6 +5,10 @@ Records (leaves) have an ordered place in a file: ordinal, offset, length, and a
 file has its root on one level, and the levels above lead to one root of the archive.  Replicas with equal roots are equal.  Otherwise only the children of
 mismatching nodes are compared, level by level, down to the records; ranges that one replica lacks show as missing.
 
+The places of one replica are the manifest of the others: ``placed`` puts a replica's records where the manifest has the same record (the k-th of
+equal ones where that has its k-th), and those left over at the free places of their id, in order.  A lost record leaves a gap and moves nothing
+behind it.  Records that the manifest lacks follow in files of their own.
+
 No group holds more than ``fan`` nodes or one file's records.  Each level is written by itself, so a descent reads the branches that
 it needs and nothing else of the tree.
 
@@ -21,6 +25,7 @@ from clickwright.llm.common import settle
 from clickwright.plans.ordered import global_rank
 
 CRLF = "\r\n"
+_KEY = ["id", "hash", "length"]
 
 
 def warc_record(url: Column, body: Column, name: Column, date: str = "2024-01-01T00:00:00Z") -> Column:
@@ -35,16 +40,59 @@ def warc_record(url: Column, body: Column, name: Column, date: str = "2024-01-01
     return F.concat(head, body, F.lit(CRLF * 2)).cast("binary")
 
 
-def leaves(records: DataFrame, per_file: int = 4096, id_col: str = "page_id", record_col: str = "record") -> DataFrame:
-    """A written table: ord (in the archive), file, start, length, hash, id.  Files hold ``per_file`` records in id order."""
+def _numbered(rows: DataFrame, within: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``rank`` (from 1) in ``order``, which starts with ``within``, and under ``name`` the number among rows equal in ``within``, from 0."""
+    rows = settle(global_rank(rows, order, "rank"), "warc-ranks")
+    first = rows.groupBy(*[F.col(c).alias(f"of_{c}") for c in within]).agg(F.min("rank").alias("first"))
+    same = F.lit(True)
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return rows.join(first, same).withColumn(name, F.col("rank") - F.col("first")).drop("first", *first.columns)
+
+
+def _records(records: DataFrame, id_col: str, record_col: str) -> DataFrame:
+    """id, length, hash, rank, and copy: the number among equal records."""
     rows = records.select(
         records[id_col].alias("id"), F.octet_length(record_col).cast("long").alias("length"), F.sha2(record_col, 256).alias("hash")
     )
-    rows = global_rank(settle(rows, "warc-records"), ["id", "hash", "length"], "rank")
-    rows = rows.withColumn("ord", F.col("rank") - 1).withColumn("file", F.floor(F.col("ord") / per_file).cast("long"))
+    return _numbered(settle(rows, "warc-records"), _KEY, _KEY, "copy")
+
+
+def _in_files(rows: DataFrame, per_file: int) -> DataFrame:
+    """Files and offsets of rows that have their ``ord``."""
     before = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")
-    return settle(rows.select("ord", "file", start.alias("start"), "length", "hash", "id"), "warc-leaves")
+    rows = rows.withColumn("file", F.floor(F.col("ord") / per_file).cast("long"))
+    return rows.select("ord", "file", start.alias("start"), "length", "hash", "id", "copy")
+
+
+def leaves(records: DataFrame, per_file: int = 4096, id_col: str = "page_id", record_col: str = "record") -> DataFrame:
+    """A written table: ord (in the archive), file, start, length, hash, id, copy.  Files hold ``per_file`` records in id order."""
+    rows = _records(records, id_col, record_col).withColumn("ord", F.col("rank") - 1)
+    return settle(_in_files(rows, per_file), "warc-leaves")
+
+
+def placed(
+    records: DataFrame, manifest: DataFrame, per_file: int = 4096, id_col: str = "page_id", record_col: str = "record"
+) -> DataFrame:
+    """The leaves of another replica: its records at the places that ``manifest`` (the leaves of the first) gives them."""
+    rows = _records(records, id_col, record_col).drop("rank")
+    place = manifest.select("ord", "file", "start", F.struct(*_KEY, "copy").alias("of"))
+    same = F.col("id").eqNullSafe(F.col("of.id"))
+    for c in ("hash", "length", "copy"):
+        same = same & (F.col(c) == F.col(f"of.{c}"))
+    rows = settle(rows.join(place, same, "left").drop("of"), "warc-placed")
+    known = rows.where("ord is not null")
+    free = manifest.join(known, "ord", "left_anti").select("id", "ord", "file", "start")
+    free = _numbered(free, ["id"], ["id", "ord"], "nth").select(F.col("id").alias("of"), F.col("nth").alias("at"), "ord", "file", "start")
+    rest = _numbered(rows.where("ord is null").drop("ord", "file", "start"), ["id"], [*_KEY, "copy"], "nth").drop("rank")
+    rest = settle(rest.join(free, F.col("id").eqNullSafe(F.col("of")) & (F.col("nth") == F.col("at")), "left"), "warc-rest")
+    columns = ["ord", "file", "start", "length", "hash", "id", "copy"]
+    known = known.select(columns).unionByName(rest.where("ord is not null").select(columns))
+    files = -(-manifest.count() // per_file)
+    extra = rest.where("ord is null").select(*_KEY, "copy")
+    extra = global_rank(extra, [*_KEY, "copy"], "rank").withColumn("ord", F.col("rank") - 1 + files * per_file)
+    return settle(known.unionByName(_in_files(extra, per_file)), "warc-leaves")
 
 
 def node_hash(children: Column) -> Column:

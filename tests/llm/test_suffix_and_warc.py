@@ -148,6 +148,35 @@ def test_audit(pages):
     assert warc_audit.audit(one, none, 4).count() == n and warc_audit.audit(none, none, 4).count() == 0 and warc_audit.root(none) is None
 
 
+def test_audit_against_a_manifest(spark):
+    """Lost, added, damaged and exchanged records are one difference each, wherever they stand; nothing behind them moves."""
+    rows = [(i, f"record {i} " + "x" * (i % 7)) for i in range(50)] + [(None, "a"), (None, "b"), (None, "b"), (20, "second copy of 20")]
+    frame = lambda data: spark.createDataFrame([(i, t.encode()) for i, t in data], "page_id long, record binary").repartition(3)
+    manifest = warc_audit.leaves(frame(rows), 16)
+    text = {hashlib.sha256(t.encode()).hexdigest(): t for _, t in rows}
+    place = {(r.id, text[r.hash], r.copy): r.ord for r in manifest.collect()}
+    one = warc_audit.merkle_tree(manifest, 4)
+
+    def differences(data):
+        two = warc_audit.placed(frame(data), manifest, 16)
+        found = warc_audit.audit(one, warc_audit.merkle_tree(two, 4), 4).collect()
+        return {r.ord: "lost" if r.hash_two is None else "extra" if r.hash_one is None else "damaged" for r in found}, two
+
+    assert differences(rows)[0] == {}
+    assert differences([r for r in rows if r[0] != 1])[0] == {place[1, rows[1][1], 0]: "lost"}
+    assert differences([r for r in rows if r != (None, "b")] + [(None, "b")])[0] == {place[None, "b", 1]: "lost"}  # one of two equal ones
+    assert differences([r for r in rows if r != (None, "a")] + [(None, "A")])[0] == {place[None, "a", 0]: "damaged"}
+    got, two = differences(rows + [(-3, "new"), (99, "new too"), (None, "c")])
+    assert got == {64: "extra", 65: "extra", 66: "extra"}
+    assert {r.id: (r.ord, r.file, r.start) for r in two.collect() if r.ord >= 64} == {None: (64, 4, 0), -3: (65, 4, 1), 99: (66, 4, 4)}
+    other = [{3: (3, "record 3 dAmaged and longer"), 30: (30, rows[31][1]), 31: (31, rows[30][1])}.get(i, r) for i, r in enumerate(rows) if i != 10]
+    want = {place[i, rows[i][1], 0]: "lost" if i == 10 else "damaged" for i in (3, 10, 30, 31)}
+    assert differences(other + [(500, "z")])[0] == {**want, 64: "extra"}
+    assert set(differences([])[0].values()) == {"lost"} and len(differences([])[0]) == len(rows)
+    none = warc_audit.leaves(frame(rows[:0]), 16)
+    assert warc_audit.placed(frame(rows), none, 16).count() == len(rows)
+
+
 def test_warc_odd(spark):
     rows = [(None, None, None), (1, "u", "b"), (1, "u", "b"), (1, None, "other"), (2, "", "x" * 100_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"ord": F.lit(1), "hash": F.lit("z"), "file": F.lit(1)})

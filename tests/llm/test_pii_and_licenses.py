@@ -209,7 +209,7 @@ def test_disclosure_between_numbers_and_in_lists(spark):
     common = "common words here and things about other project from nobody"
     data = [(i, f"Kowalski, flat 12, no 34, v 1.2.3.999, card 4111111111111111. {common} {i}") for i in range(3)]
     data += [(10 + i, f"lists Nightingale: a{i}@b.cd, jo@example.org, c{i}@d.ef, 10.0.0.1 {common}") for i in range(3)]
-    data += [(20 + i, f"{'x' * 150}{'y' * 20}zebra jo2@example.org {common}") for i in range(3)]
+    data += [(20 + i, f"{'x' * 150}{'y' * 20}zebra jo2@example.org {common} {i}") for i in range(3)]
     data += [(100 + i, f"lists card flat {common} number {i}") for i in range(60)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     rows = {r["id"]: r for r in pii.find_spans(docs).collect()}

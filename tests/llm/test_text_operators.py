@@ -165,6 +165,46 @@ def test_simhash_links_all_plans(spark):
         assert need == 5
 
 
+def simhash_classes(spark, fps):
+    return spark.createDataFrame([(simhash_dedup._signed(f),) for f in fps], "fp long")
+
+
+@pytest.mark.parametrize("bits", [0, 2, 4])
+def test_simhash_components_without_pairs(spark, bits):
+    """Balls, chains that take several rounds and single points, against all pairs."""
+    rng = np.random.default_rng(bits)
+    chain, x = [], int(rng.integers(1 << 62))
+    for i in range(64):  # 2 bits a step
+        x ^= 1 << i | 1 << (i * 7 + 3) % 64
+        chain.append(x)
+    ball = [int(rng.integers(1 << 62))] * 100
+    ball = [b ^ sum(1 << int(k) for k in set(rng.integers(0, 64, rng.integers(0, 5)))) for b in ball]
+    fps = sorted({*chain, *ball, 0, (1 << 64) - 1, *(int(k) for k in rng.integers(0, 1 << 63, 200))})
+    near = lambda a, b: (a ^ b).bit_count() <= bits
+    want = {n: c for n, c in brute.components(fps, near).items() if any(near(n, b) for b in fps if b != n)}
+    got = {r.node & (1 << 64) - 1: r.component for r in simhash_dedup.linked_components(simhash_classes(spark, fps), bits).collect()}
+    assert got.keys() == want.keys()
+    assert len(set(got.values())) == len(set(want.values())) == len({(got[n], want[n]) for n in got})
+    assert all(got[c & (1 << 64) - 1] == c for c in got.values())
+
+
+def test_simhash_writes_no_pairs(spark, monkeypatch):
+    """A ball of k close fingerprints, all linked to each other, writes rows in proportion to k."""
+    written = []
+
+    def counted(df, name, real=simhash_dedup.settle):
+        out = real(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "settle", counted)
+    ball = [1 << i | 1 << j for i in range(40) for j in range(i)]  # 780, 4 bits apart at most
+    got = simhash_dedup.linked_components(simhash_classes(spark, ball), 4).collect()
+    assert len(got) == len(ball) and len({r.component for r in got}) == 1
+    assert max(written) <= len(ball) and len(written) <= 5
+    assert simhash_dedup.linked_components(simhash_classes(spark, [5]), 4).count() == 0
+
+
 def test_simhash_odd(repeated, empty, odd):
     got = rows(simhash_dedup.near_components(repeated))
     assert len(got) == repeated.count()

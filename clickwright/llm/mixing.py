@@ -5,6 +5,9 @@ uniform one.  tau is found by bisection: the largest tau whose entropy reaches t
 the repetition limit asks (the limit wins).  Each step cuts the interval in 16 by one aggregate over the per-source table,
 so sources never come to the driver, however many there are.
 
+Tokens: ids of a public tokenizer (``tokenizer``, the path of its file) and the end id, or a column that holds them
+(``tokens_col``).  With neither, words between white space count, which gives a text in a script without spaces next to no weight.
+
 Budget: source s may emit p_s x budget tokens.  Without a budget it is set so that the source that is repeated least is
 emitted exactly once; no document is then lost and the others repeat at most ``max_repeats`` times.
 
@@ -13,7 +16,7 @@ source is a permutation of its blocks.  Whole passes emit all blocks; the last p
 order until the budget is met, and only the block on the edge is cut, inside, in its own order, to the nearest document.  So no sort or
 window is wider than one block's documents or one source's blocks: a source with a third of all rows is as spread as any other.
 
-Defined results: a null source counts as the empty source, and an empty or null text as one token.  Null ids and repeated rows
+Defined results: a null source counts as the empty source, and an empty or null text as one token; so does a null, zero or negative number in ``tokens_col``.  Null ids and repeated rows
 are documents like any other.  An empty table gives an empty mix.  Extra columns are carried, also if they share a name with the plan's.
 """
 
@@ -21,10 +24,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickwright.llm.common import WHITE, settle, sheltered, text_of
+from clickwright.llm.common import WHITE, settle, sheltered, ship, text_of
+from clickwright.llm.tokens import encoded
 
 MAX_BLOCKS = 65_536
 SECTIONS = 16
@@ -46,14 +51,40 @@ def word_count(text: Column) -> Column:
     return F.greatest(F.lit(1), F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")))).cast("long")
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
+def token_count(text: Column, tokenizer: str) -> Column:
+    """Ids of a text without nulls, and the end id."""
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([len(ids) + 1 for ids in encoded(tokenizer, texts.to_pylist())], pa.int64())
+
+    return count(text)
+
+
+def measured(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    seed: int = 7,
+    tokenizer: str | None = None,
+    tokens_col: str | None = None,
+) -> DataFrame:
     """``docs`` with _mix_source, _mix_tokens and _mix_hash, which deals documents into blocks and orders them there."""
     named = F.coalesce(F.concat(F.lit("i"), docs[id_col].cast("string")), F.lit("null"))
+    text = text_of(docs, text_col)
+    if tokens_col is not None:
+        tokens = F.greatest(F.lit(1).cast("long"), docs[tokens_col].cast("long"))
+    elif tokenizer is not None:
+        ship(docs.sparkSession)
+        tokens = token_count(text, tokenizer)
+    else:
+        tokens = word_count(text)
     return docs.withColumns(
         {
             "_mix_source": F.coalesce(docs[source_col].cast("string"), F.lit("")),
-            "_mix_tokens": word_count(text_of(docs, text_col)),
-            "_mix_hash": F.xxhash64(named, text_of(docs, text_col), F.lit(seed)),
+            "_mix_tokens": tokens,
+            "_mix_hash": F.xxhash64(named, text, F.lit(seed)),
         }
     )
 
@@ -173,9 +204,17 @@ def in_order(emitted: DataFrame, mix: Mix, seed: int = 7) -> DataFrame:
     return emitted.join(turns, ["_mix_source", "_mix_block", "_mix_pass"])
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+def mix_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    tokenizer: str | None = None,
+    tokens_col: str | None = None,
+    **how,
+) -> DataFrame:
     """The rows of ``docs`` (all columns), each as often as the mix emits it.  The plan is small; the text is not shuffled for it."""
-    packed, back = sheltered(docs, id_col, source_col, text_col)
-    rows = measured(packed, id_col, source_col, text_col)
+    packed, back = sheltered(docs, id_col, source_col, text_col, tokens_col)
+    rows = measured(packed, id_col, source_col, text_col, tokenizer=tokenizer, tokens_col=tokens_col)
     slim = settle(rows.select("_mix_source", "_mix_tokens", "_mix_hash"), "mix-rows")
-    return back(emit(rows, plan_mix(slim, **how)))
+    return back(emit(rows.drop("_mix_tokens"), plan_mix(slim, **how)))

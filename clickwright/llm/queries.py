@@ -72,7 +72,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_temperature_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.measured(documents(spark, sf_dir)).select("doc_id", "_mix_source", "_mix_tokens", "_mix_hash")
+    rows = mixing.measured(documents(spark, sf_dir), tokenizer=tokenizer_path()).select("doc_id", "_mix_source", "_mix_tokens", "_mix_hash")
     rows = settle(rows, "mix-rows")
     mix = mixing.plan_mix(rows, target_entropy=0.97, max_repeats=4.0)
     out = mixing.in_order(mixing.emit(rows, mix), mix)

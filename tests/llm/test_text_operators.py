@@ -395,9 +395,34 @@ def test_mixing_limits(small):
     assert abs(sum(r["_mix_tokens"] for r in emitted) / total - 0.5) < 0.1
 
 
+def test_mixing_counts_tokens(spark, small, odd):
+    """Ids of the tokenizer and the end id; a script without spaces weighs as much as it is long."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = True
+    for docs in (small, odd):
+        got = {r.doc_id: r["_mix_tokens"] for r in mixing.measured(docs, tokenizer=tokenizer_path()).collect()}
+        assert got == {r.doc_id: len(plain.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    han, latin = "数据训练语料混合" * 200, "some plain words of text " * 200
+    two = spark.createDataFrame([(1, han, "han"), (2, latin, "latin")], "doc_id long, text string, source string")
+    share = {r.source: r.share for r in mixing.plan_mix(mixing.measured(two, tokenizer=tokenizer_path())).sources.collect()}
+    assert share["han"] > 0.5 > mixing.plan_mix(mixing.measured(two)).sources.where("source = 'han'").first().share * 100
+    sized = spark.createDataFrame([(1, "a", "x", 30), (2, "b", "y", None), (3, "c", "y", -4)], "doc_id long, text string, source string, n int")
+    assert [r["_mix_tokens"] for r in mixing.measured(sized, tokens_col="n").orderBy("doc_id").collect()] == [30, 1, 1]
+    out = mixing.mix_documents(sized, tokens_col="n", max_repeats=1.0)
+    assert out.columns == sized.columns and sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, sized.collect()), key=str)
+
+
+def test_mixing_encodes_each_text_once(small):
+    """The emitting pass carries texts and encodes none of them."""
+    plan = mixing.mix_documents(small, tokenizer=tokenizer_path(), max_repeats=1.25)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEval" not in plan
+
+
 def test_mixing_odd(odd, repeated, empty):
     for docs in (odd, repeated, empty):
-        out = mixing.mix_documents(docs, max_repeats=2.0)
+        out = mixing.mix_documents(docs, max_repeats=2.0, tokenizer=tokenizer_path())
         assert out.columns == docs.columns
         want = Counter((r.doc_id, r.text) for r in docs.collect())
         got = Counter((r.doc_id, r.text) for r in out.collect())

@@ -1,6 +1,7 @@
 """Plan checks: no Python in the feature path, no single-partition windows, pushdown."""
 
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
 from clickwright.plans.catalog import QUERIES
 
@@ -119,3 +120,30 @@ def test_no_private_checkpoint_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         checkpoint_dir(Session())
+
+
+def test_rows_move_before_they_carry_what_row_expressions_make(spark):
+    from clickwright.operators import preprocess as pp
+
+    kinds = "instance_id long, item_id long, user_id long, context_timestamp long, day int, item_category_list string, item_property_list string, predict_category_property string"
+    rows = [(i, i % 3, i % 2 or None, 1_400_000_000 + i, 1, f"1;{i % 2}", f"{i % 4};7", "1:7;") for i in range(8)]
+    out = pp.preprocess(spark.createDataFrame(rows, kinds), property_tokens=[7, 2])
+    assert out.columns == [
+        "user_id", "item_id", "instance_id", "context_timestamp", "day", "item_category_list", "item_property_list", "predict_category_property",
+        "hour", "minute", "maphour", "mapmin", "secondLevelCatagory_Most_Freq", "preperty_7", "preperty_2", "hitCategory", "hitProperty"]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "Join" in plan and "preperty_" not in plan.split("Join", 1)[1] and "maphour" not in plan.split("Join", 1)[1]
+    got = {r.instance_id: (r.user_id, r.item_id, r.preperty_7, r.preperty_2, r.hitProperty) for r in out.collect()}
+    assert got[2] == (1, 2, True, True, got[2][4]) and got[1][:4] == (0, 1, True, False)
+
+
+def test_key_sets_of_more_columns_are_joined_first(spark):
+    from clickwright.operators.grouped import KeyedFeatures
+
+    df = spark.createDataFrame([(1, 1, 1, 5), (2, 1, 2, 6), (3, 2, 2, 7)], "id int, a int, b int, v int")
+    batch = KeyedFeatures().add(["a"], {"__x": F.sum("v")}, {"by_a": F.col("__x")}).add(["a", "b"], {"__y": F.sum("v")}, {"by_ab": F.col("__y")})
+    out = batch.apply(df)
+    assert out.columns == ["id", "a", "b", "v", "by_a", "by_ab"]
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 1, 5, 11, 5), (2, 1, 2, 6, 11, 6), (3, 2, 2, 7, 7, 7)]
+    top = out._jdf.queryExecution().optimizedPlan().toString().split("Join", 2)
+    assert top[1].splitlines()[0].count(" = ") == 1 and top[2].splitlines()[0].count(" = ") == 2

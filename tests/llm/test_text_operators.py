@@ -205,6 +205,35 @@ def test_simhash_writes_no_pairs(spark, monkeypatch):
     assert simhash_dedup.linked_components(simhash_classes(spark, [5]), 4).count() == 0
 
 
+@pytest.mark.parametrize("bits", [4, 5])
+def test_simhash_large_groups(spark, monkeypatch, bits):
+    """Groups beyond the limit meet at midpoints: the same components as all pairs give, and no join yields a row per pair."""
+    rng = np.random.default_rng(bits)
+    plans = []
+
+    def seen(df, name, real=simhash_dedup.settle):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(simhash_dedup, "settle", seen)
+    monkeypatch.setattr(simhash_dedup, "BUCKET", 8)
+    centre, path = int(rng.integers(1 << 62)), []
+    flips = lambda n: sum(1 << int(k) for k in rng.choice(64, n, replace=False))
+    ball = [centre ^ flips(int(rng.integers(0, 4))) for _ in range(60)]
+    near_by = [centre ^ 0x3FF ^ flips(int(rng.integers(0, 3))) for _ in range(40)]
+    x = centre
+    for _ in range(20):
+        x ^= flips(bits)
+        path.append(x)
+    fps = sorted({*ball, *near_by, *path, *(int(k) for k in rng.integers(0, 1 << 63, 100))})
+    near = lambda a, b: (a ^ b).bit_count() <= bits
+    want = {n: c for n, c in brute.components(fps, near).items() if any(near(n, b) for b in fps if b != n)}
+    got = {r.node & (1 << 64) - 1: r.component for r in simhash_dedup.linked_components(simhash_classes(spark, fps), bits).collect()}
+    assert got.keys() == want.keys()
+    assert len(set(got.values())) == len(set(want.values())) == len({(got[n], want[n]) for n in got})
+    assert not [line for plan in plans for line in plan.splitlines() if "Join Inner" in line and "bit_count" in line]
+
+
 def test_simhash_odd(repeated, empty, odd):
     got = rows(simhash_dedup.near_components(repeated))
     assert len(got) == repeated.count()

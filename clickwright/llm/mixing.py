@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickwright.llm.common import WHITE, settle, sheltered, ship, text_of
-from clickwright.llm.tokens import encoded
+from clickwright.llm.tokens import counted
 
 MAX_BLOCKS = 65_536
 SECTIONS = 16
@@ -56,7 +56,7 @@ def token_count(text: Column, tokenizer: str) -> Column:
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array([len(ids) + 1 for ids in encoded(tokenizer, texts.to_pylist())], pa.int64())
+        return pa.array([n + 1 for n in counted(tokenizer, texts.to_pylist())], pa.int64())
 
     return count(text)
 

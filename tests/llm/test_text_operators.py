@@ -253,6 +253,24 @@ def test_simhash_without_ids(spark):
     assert sorted(r.text for r in kept) == sorted(prose) and {r.doc_id for r in kept if r.text == prose[3]} == {7}
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_counts(name, monkeypatch):
+    """Numbers of ids without the ids, with a full memo, too."""
+    import public_tokenizers
+
+    from clickwright.llm import tokens
+
+    rng, path = np.random.default_rng(5), public_tokenizers.path(name)
+    parts = ["a", "Zé", "'s", "'", "\n", "\n\n", " ", "  ", ".", "!?", "23", "²", "\t", "数", "<|endoftext|>", "word", " next", "\u0301", ""]
+    texts = ["", " ", *("".join(rng.choice(parts, rng.integers(1, 60))) for _ in range(3000)), "x " * 5000]
+    tok = tokens.encoder(path).tok
+    want = [len(e) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert list(tokens.counted(path, texts)) == want
+    monkeypatch.setattr(tokens, "SIZES", 100)
+    assert list(tokens.counted(path, texts, 1 << 10)) == want
+    assert [len(ids) for ids in tokens.encoded(path, texts, 1 << 10)] == want
+
+
 def test_components(spark):
     from clickwright.llm.components import components
 

@@ -234,6 +234,37 @@ def test_simhash_large_groups(spark, monkeypatch, bits):
     assert not [line for plan in plans for line in plan.splitlines() if "Join Inner" in line and "bit_count" in line]
 
 
+def test_hooks_that_rise_and_fall(spark, monkeypatch):
+    """A tree of smallest neighbours, some of them larger than their node, and long ways to a root: one table for each doubling, not two and a join for each round."""
+    from clickwright.llm import components
+    from clickwright.llm.components import hooked
+
+    tables = []
+    monkeypatch.setattr(components, "settle", lambda df, name, real=components.settle: (tables.append(name), real(df, name))[1])
+    rng = np.random.default_rng(5)
+    names = rng.permutation(400).tolist()
+    linked = {n: set() for n in names}
+    for i in range(1, 300):
+        j = i - 1 if i < 60 else int(rng.integers(i))
+        linked[names[i]].add(names[j])
+        linked[names[j]].add(names[i])
+    for i in range(300, 400, 2):
+        linked[names[i]].add(names[i + 1])
+        linked[names[i + 1]].add(names[i])
+    hooks = {n: min(others) for n, others in linked.items()} | {1000 + i: 999 + i for i in range(1, 50)} | {1000: 1001}
+    assert any(to > n for n, to in hooks.items())
+    want = brute.components(hooks, lambda a, b: hooks[a] == b or hooks[b] == a)
+    got = {r.node: r.component for r in hooked(spark.createDataFrame(list(hooks.items()), "a long, to long")).collect()}
+    assert len(tables) <= 9  # ways of at most 64 hooks
+    assert got.keys() == hooks.keys() and all(got[c] == c for c in got.values())
+    assert len(set(got.values())) == len(set(want.values())) == len({(got[n], want[n]) for n in hooks})
+    assert hooked(spark.createDataFrame([], "a long, to long")).count() == 0
+    monkeypatch.setattr(components, "settle", lambda df, name, real=simhash_dedup.settle: (tables.append(name), real(df, name))[1])
+    tables.clear()
+    components.components(spark.createDataFrame(list(hooks.items()), "a long, b long")).count()
+    assert len(tables) > 9
+
+
 def test_simhash_odd(repeated, empty, odd):
     got = rows(simhash_dedup.near_components(repeated))
     assert len(got) == repeated.count()

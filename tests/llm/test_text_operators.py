@@ -165,6 +165,18 @@ def test_simhash_links_all_plans(spark):
         assert need == 5
 
 
+def test_simhash_plan_holds_the_pairs_once():
+    """The driver plans on some two million pairs of fingerprints: 17 MB, and one mask of them at a time."""
+    import tracemalloc
+
+    sample = np.random.default_rng(5).integers(0, 1 << 63, simhash_dedup.SAMPLE, dtype=np.uint64)
+    tracemalloc.start()
+    probes = simhash_dedup.plan(sample, 10_000, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert probes and peak < 48e6
+
+
 def simhash_classes(spark, fps):
     return spark.createDataFrame([(simhash_dedup._signed(f),) for f in fps], "fp long")
 

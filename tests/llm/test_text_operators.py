@@ -537,3 +537,13 @@ def test_packing_prefers_fewer_bins():
     fuller = [i // 10 for i in range(77)] + [8, 9, 10]
     best = packing.evolve([1] * 80, 10, np.random.default_rng(1), [fuller, fewer], 2, 0)
     assert len(best.room) == 10
+
+
+def test_near_dedup_collects_the_drivers_garbage(spark):
+    """What each of its many queries leaves in the driver goes before the heap is full."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([(i, "a b c d e f g h"[: 3 + 4 * (i % 4)]) for i in range(12)], "doc_id long, text string")
+    before = whole()
+    assert simhash_dedup.near_components(docs).count() == 12
+    assert whole() - before >= 4
